@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import importable
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file lies on this machine."""
@@ -15,6 +17,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -116,6 +119,31 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def fold(modulus: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id's text modulo a number; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+#: Scores from here on are toxic.
+TOXIC = 0.3
+
+
+def op9_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_pu import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels"), fold(4) != 2))
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs, fold(5) != 0))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -124,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_html_main_text": op7_html_main_text,
     "op8_packing": op8_packing,
+    "op9_toxicity_pu": op9_toxicity_pu,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_exact_topk": OP4_SQL}

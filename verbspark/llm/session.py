@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver did.
+
+    Elsewhere the package is installed, or sent with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))

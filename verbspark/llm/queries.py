@@ -65,6 +65,12 @@ FROM checked GROUP BY conv_id
 """
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import fit_and_score
+
+    return fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_topk import quantised, top_k
 
@@ -147,6 +153,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_pseudo_likelihood": op3_pseudo_likelihood,
     "op4_exact_topk": op4_exact_topk,
     "op5_secret_ledger": op5_secret_ledger,
     "op6_decontamination": op6_decontamination,

@@ -1,7 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear model over the words of a text, and the beginnings of its words, is
-trained from texts confirmed as toxic and from unlabelled texts.  The risk of
+trained from texts confirmed as toxic and from unlabelled texts.  Its features
+are those that are more frequent in toxic texts, so a text with none of them
+has the lowest score.  The risk of
 the unlabelled texts, less what the class prior says is due to toxic ones
 among them, is kept from becoming negative: a step that would make it so is
 taken backwards.
@@ -30,7 +32,7 @@ SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 STEPS, RATE, DECAY = 600, 0.05, 1e-3
 #: A feature has value 1/2 at this share of the words; texts count as longer by a few words.
 HALF_SHARE, FEW_WORDS = 0.01, 20
-#: Features must differ by so many standard errors between the samples, and occur in so many texts.
+#: Features must be more frequent in toxic texts by so many standard errors, and occur in so many texts.
 LEAST_Z, LEAST_TEXTS = 4.5, 5
 _PROBE_BITS = 18
 
@@ -153,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     pooled = (F.col("p") * sizes[0] + F.col("u") * sizes[1]) / sum(sizes)
     z = (F.col("p") - F.col("u")) / F.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]) + 1e-12)
     counts = counts.where(pooled * sum(sizes) >= LEAST_TEXTS - 0.5)
-    best = counts.select("feature", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect()
+    best = counts.select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect()
     features = np.sort(np.array([r.feature for r in best], dtype=np.int64).view(np.uint64))
     if not len(features):
         return Model(features, np.zeros(0), float(np.log(prior / (1 - prior))))

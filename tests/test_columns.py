@@ -130,3 +130,11 @@ def test_conditionals(spark):
     assert g(f.when_any("a", "b", na_rm=True)) == [True, True, True, True, False, False, True, False, False] and g(f.xor("a", "b"))[:2] == [False, True]
     assert v(f.pmin("x", 2)) == [1, 2, 2, NA] and v(f.pmax("x", 2, na_rm=True)) == [2, 2, 3, 2] and v(f.paste("s", "x", sep="-")) == ["a-1", "b-2", "c-3", "NA-NA"]
     assert v(f.round(col("x") / 2)) == [0.0, 1.0, 2.0, NA] and v(f.cut("x", [0, 1, 3])) == ["(0,1]", "(1,3]", "(1,3]", NA] and v(col("s").isin("a", NA)) == [True, False, False, True]
+
+
+def test_c_across(spark):
+    from verbspark import c_across
+
+    x = frame(spark, "g string, a int, b int, c int", ("u", 1, 5, 3), ("v", 9, 2, 4))
+    assert values(x.rowwise("g").mutate(top=f.fn("array_max", c_across(["a", "b", "c"]))), "top") == [5, 9]
+    assert values(x.group_by("g").mutate(n=f.fn("size", c_across())), "n") == [3, 3]

@@ -90,3 +90,21 @@ def test_nest_and_cross(spark):
     assert len(x.left_join(pd.DataFrame({"x": [1.0]}), "x", copy=True).collect()) == 2
     with pytest.raises(TypeError):
         x.left_join(pd.DataFrame({"x": [1.0]}), "x")
+
+
+@pytest.mark.parametrize("width", [1, 3, 50])
+def test_binned_range_joins(spark, width):
+    import random
+
+    rng = random.Random(width)
+    x = frame(spark, "x int, a int, b int", *[(rng.randint(0, 60), *sorted((rng.randint(0, 60), rng.randint(0, 60)))) for _ in range(40)], (NA, NA, NA))
+    y = frame(spark, "lo int, hi double", *[(k, float(k + rng.randint(0, 20))) for k in (rng.randint(0, 60) for _ in range(30))], (NA, 1.0))
+    for by in ("between(x, lo, hi)", "between(x, lo, hi, bounds = '()')", "overlaps(a, b, lo, hi)", "within(a, b, lo, hi)"):
+        plain = sorted(map(str, rows(x.inner_join(y, join_by(by), na_matches="never"))))
+        assert sorted(map(str, rows(x.inner_join(y, join_by(by), na_matches="never", bin_width=width)))) == plain and plain
+    left = join_by("between(x, lo, hi)")
+    assert sorted(map(str, rows(x.left_join(y, left, na_matches="never", bin_width=width)))) == sorted(map(str, rows(x.left_join(y, left, na_matches="never"))))
+    with pytest.raises(ValueError):
+        x.left_join(y, join_by("overlaps(a, b, lo, hi)"), bin_width=1)
+    with pytest.raises(ValueError):
+        x.inner_join(y, join_by("x > lo"), bin_width=1)

@@ -199,7 +199,7 @@ def _all() -> None:
         ("row_number", lambda t: events(t).group_by("user_id").mutate(r=f.row_number(), s=f.row_number(desc("value"))).ungroup().select("event_id", "r", "s"), "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS s FROM events"),
         ("ntile", lambda t: events(t).group_by("user_id").mutate(b=f.ntile(4)).ungroup().select("event_id", "b"), "SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events"),
         ("lag_lead", lambda t: events(t).group_by("user_id").mutate(a=f.lag("event_type"), b=f.lead("event_id", 2, default=-1), d=rounded(f.diff("value"))).ungroup().select("event_id", "a", "b", "d"), "SELECT event_id, lag(event_type) OVER w AS a, lead(event_id, 2, -1) OVER w AS b, round(value - lag(value) OVER w, 2) AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
-        ("cumulative", lambda t: events(t).group_by("user_id").mutate(s=f.cumsum("event_id"), lo=f.cummin("value"), hi=f.cummax("value"), m=rounded(f.cummean("value"), 7)).ungroup().select("event_id", "s", "lo", "hi", "m"), "SELECT event_id, CAST(sum(event_id) OVER w AS BIGINT) AS s, min(value) OVER w AS lo, max(value) OVER w AS hi, round(avg(value) OVER w, 7) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
+        ("cumulative", lambda t: events(t).group_by("user_id").mutate(s=f.cumsum("event_id"), lo=f.cummin("value"), hi=f.cummax("value"), m=rounded(f.cummean("value"), 10)).ungroup().select("event_id", "s", "lo", "hi", "m"), "SELECT event_id, CAST(sum(event_id) OVER w AS BIGINT) AS s, min(value) OVER w AS lo, max(value) OVER w AS hi, round(avg(value) OVER w, 10) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
         ("cumulative_logic", lambda t: events(t).group_by("user_id").mutate(a=f.cumall(col("event_type") != "error"), b=f.cumany(col("event_type") == "purchase")).ungroup().select("event_id", "a", "b"), "SELECT event_id, bool_and(event_type <> 'error') OVER w AS a, bool_or(event_type = 'purchase') OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
         ("consecutive_id", lambda t: events(t).group_by("user_id").mutate(run=f.consecutive_id("event_type")).ungroup().select("event_id", "run"), "SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events)"),
         ("with_order", lambda t: events(t).group_by("user_id").mutate(s=f.with_order(-col("event_id"), f.cumsum, "event_id")).ungroup().select("event_id", "s"), "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS BIGINT) AS s FROM events"),

@@ -17,15 +17,16 @@ from .operators.scoped import ScopedVerbs
 from .operators.sets import SetVerbs
 from .operators.summaries import SummaryVerbs
 from .plans.expr import quoted
-from .plans.lower import Context, Order, is_hidden, sort_columns
+from .plans.lower import Context, Order, file_order, is_hidden, sort_columns
 from .plans.select import resolve
 
 
 class Frame(ColumnVerbs, RowVerbs, GroupVerbs, SummaryVerbs, JoinVerbs, SetVerbs, RowMutations, ScopedVerbs):
     """An immutable table; every verb returns a new one and nothing runs before an action.
 
-    The row order is kept as hidden columns, which Catalyst prunes from plans
-    that do not need it.  `df` is the plain DataFrame without them.
+    The row order is kept as hidden columns, that of files from the first time
+    that it matters; Catalyst prunes what a plan does not need.  `df` is the
+    plain DataFrame without them.
     """
 
     def __init__(self, df: DataFrame, groups: Iterable[str] = (), order: Order = (), rowwise: bool = False, drop: bool = True):
@@ -92,9 +93,17 @@ class Frame(ColumnVerbs, RowVerbs, GroupVerbs, SummaryVerbs, JoinVerbs, SetVerbs
 
     # results
 
+    def with_order(self) -> Frame:
+        """The frame with its row order as hidden columns, if it has one."""
+        if self.order:
+            return self
+        df, order = file_order(self._df)
+        return self._with(df, order=order) if order else self
+
     def ordered(self) -> DataFrame:
         """The visible columns, sorted by the row order."""
-        df = self._df.orderBy(*sort_columns(self.order)) if self.order else self._df
+        frame = self.with_order()
+        df = frame._df.orderBy(*sort_columns(frame.order)) if frame.order else frame._df
         return df.select(*(quoted(c) for c in self.columns))
 
     def collect(self) -> list:

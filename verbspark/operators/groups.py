@@ -88,6 +88,7 @@ class GroupVerbs:
 
     def _with_places(self) -> tuple[DataFrame, str]:
         context = Context(self._df, [], self.order)
+        context.row_order()
         name = hidden()
         return context.df.withColumn(name, F.row_number().over(context.window())), name
 
@@ -190,8 +191,8 @@ class GroupVerbs:
         whole = T.StructType([*(self._df.schema[g] for g in groups), *kind])
         inner = [c for c in self.columns if _keep or c not in groups]
         context = Context(self._df, [], self.order)
-        place = hidden()
-        df = context.df.withColumn(place, context.position()).select(*dict.fromkeys([*groups, *inner]), place)
+        place, position = hidden(), context.position()
+        df = context.df.withColumn(place, position).select(*dict.fromkeys([*groups, *inner]), place)
 
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             order = rows[place].map(lambda d: tuple(d.values()) if isinstance(d, dict) else tuple(d))

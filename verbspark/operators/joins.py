@@ -130,6 +130,40 @@ class _Sides:
 
         self.test = test  # type: ignore[method-assign]
 
+    def binned(self, width: float, how: str) -> None:
+        """Adds an equality to a range join: both sides' ranges are cut into bins, which must be equal.
+
+        A pair that shares several bins is kept in the first of them only.
+        """
+        low = [k for k in self.keys if k[0].op in (">=", ">") and not k[0].closest]
+        high = [k for k in self.keys if k[0].op in ("<=", "<") and not k[0].closest]
+        if len(low) != 1 or len(high) != 1:
+            raise ValueError("bins need one lower and one upper limit")
+        (_, xa, yb), (_, xc, yd) = low[0], high[0]
+        point = low[0][0].x == high[0][0].x
+        if how != "inner" and not (how == "left" and point):
+            raise ValueError("bins serve inner joins, and left joins of a point with a range")
+
+        def bins(df: DataFrame, a: str, b: str, outer: bool) -> tuple[DataFrame, str, str]:
+            first, bin_ = hidden(), hidden("k")
+            ends = [F.floor(_number(df, c) / F.lit(float(width))) for c in (a, b)]
+            start, stop = F.least(*ends), F.greatest(*ends)
+            explode = F.explode_outer if outer else F.explode
+            whole = F.when(ends[0].isNotNull() & ends[1].isNotNull(), F.sequence(start, stop))
+            return df.withColumn(first, start).withColumn(bin_, explode(whole)), first, bin_
+
+        self.left, x_first, x_bin = bins(self.left, xc, xa, how == "left")
+        self.right, y_first, y_bin = bins(self.right, yb, yd, False)
+        plain = self.test
+
+        def test(k: Condition, left: str, right: str) -> Column:
+            if k.op != "bin":
+                return plain(k, left, right)
+            return (quoted(left) == quoted(right)) & (quoted(left) == F.greatest(quoted(x_first), quoted(y_first)))
+
+        self.keys = [*self.keys, (Condition("", "bin", ""), x_bin, y_bin)]
+        self.test = test  # type: ignore[method-assign]
+
     def _nearest_among_joined(self, rolling: list[tuple[Condition, str, str]]) -> None:
         row = self.unique_left()
         pairs = self.left.join(self.right, self.condition())
@@ -143,7 +177,18 @@ class _Sides:
         self.keys = [(Condition("", "==", ""), row, marker)]
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    """A number for a range's end: itself, days, or seconds."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(quoted(name)).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return quoted(name).cast("timestamp").cast("double")
+    return quoted(name).cast("double")
+
+
 def _ordered(frame) -> tuple[DataFrame, Order]:
+    frame = frame.with_order()
     return frame._df, frame.order
 
 
@@ -163,7 +208,7 @@ class JoinVerbs:
             return from_pandas(self.session, y)
         raise TypeError("the other table is a frame")
 
-    def _mutating(self, y: Any, how: str, by: Any, copy: bool, suffix: tuple[str, str], keep: bool | None, na_matches: str, multiple: str, unmatched: Any, relationship: str | None):
+    def _mutating(self, y: Any, how: str, by: Any, copy: bool, suffix: tuple[str, str], keep: bool | None, na_matches: str, multiple: str, unmatched: Any, relationship: str | None, bin_width: float | None = None):
         y = self._other(y, copy)
         if multiple not in _MULTIPLE or relationship not in _RELATIONSHIPS or na_matches not in ("na", "never"):
             raise ValueError("no such multiple, relationship or na_matches")
@@ -176,6 +221,8 @@ class JoinVerbs:
         self._check_columns(spec)
         s = _Sides(self, y, spec, na_matches)
         s.nearest()
+        if bin_width is not None:
+            s.binned(bin_width, how)
         if multiple != "all":
             self._single(s, multiple)
         self._contracts(s, how, unmatched, relationship, multiple)
@@ -251,13 +298,13 @@ class JoinVerbs:
                 if not matches.where("count > 1").isEmpty():
                     raise ValueError(f"a row of the {side} table matches several rows, against {relationship}")
 
-    def inner_join(self, y, by=None, copy=False, suffix=(".x", ".y"), keep=None, na_matches="na", multiple="all", unmatched="drop", relationship=None):
-        """Pairs of rows that match."""
-        return self._mutating(y, "inner", by, copy, suffix, keep, na_matches, multiple, unmatched, relationship)
+    def inner_join(self, y, by=None, copy=False, suffix=(".x", ".y"), keep=None, na_matches="na", multiple="all", unmatched="drop", relationship=None, bin_width=None):
+        """Pairs of rows that match; bin_width cuts the ranges of a range join without equalities into bins."""
+        return self._mutating(y, "inner", by, copy, suffix, keep, na_matches, multiple, unmatched, relationship, bin_width)
 
-    def left_join(self, y, by=None, copy=False, suffix=(".x", ".y"), keep=None, na_matches="na", multiple="all", unmatched="drop", relationship=None):
+    def left_join(self, y, by=None, copy=False, suffix=(".x", ".y"), keep=None, na_matches="na", multiple="all", unmatched="drop", relationship=None, bin_width=None):
         """All left rows, with their matches."""
-        return self._mutating(y, "left", by, copy, suffix, keep, na_matches, multiple, unmatched, relationship)
+        return self._mutating(y, "left", by, copy, suffix, keep, na_matches, multiple, unmatched, relationship, bin_width)
 
     def right_join(self, y, by=None, copy=False, suffix=(".x", ".y"), keep=None, na_matches="na", multiple="all", unmatched="drop", relationship=None):
         """All right rows, with their matches; those without come last."""

@@ -75,9 +75,10 @@ class RowMutations:
             self._check_matched(fitted, keys, unmatched)
         side, names = self._renamed_side(fitted, keys)
         found = hidden()
-        joined = self._df.join(side.withColumn(found, F.lit(True)), self._match(names, keys), "left")
-        columns = [value(quoted(c), quoted(names[c]), quoted(found)).alias(c) if c in names and c not in keys else quoted(c) for c in self._df.columns]
-        return self._with(joined.select(*columns)), fitted, keys
+        frame = self.with_order()
+        joined = frame._df.join(side.withColumn(found, F.lit(True)), self._match(names, keys), "left")
+        columns = [value(quoted(c), quoted(names[c]), quoted(found)).alias(c) if c in names and c not in keys else quoted(c) for c in frame._df.columns]
+        return frame._with(joined.select(*columns)), fitted, keys
 
     def _check_matched(self, fitted: DataFrame, keys: list[str], unmatched: str) -> None:
         self._policy(unmatched, "unmatched")
@@ -105,4 +106,5 @@ class RowMutations:
         fitted = self._fitted(y, keys, only_keys=True)
         self._check_matched(fitted, keys, unmatched)
         side, names = self._renamed_side(fitted, keys)
-        return self._with(self._df.join(side, self._match(names, keys), "left_anti"))
+        frame = self.with_order()
+        return frame._with(frame._df.join(side, self._match(names, keys), "left_anti"))

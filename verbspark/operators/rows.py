@@ -38,6 +38,7 @@ class RowVerbs:
     def arrange(self, *keys: Any, _by_group: bool = False, _locale: str | None = None):
         """Sorts rows; stable, missing values last also in descending order."""
         context = Context(self._df, [], self.order)
+        context.known_order()
         parts: list[Expr] = []
         for k in [*(self.groups if _by_group else ()), *keys]:
             parts += [e for _, e in expanded(self.fields, [], [k])] if isinstance(k, Macro) else [k if isinstance(k, Desc) else named(k)]
@@ -66,9 +67,11 @@ class RowVerbs:
     def _group_context(self, by: Any) -> tuple[Context, list[str]]:
         by = self._by(by)
         context = self._context(by)
+        context.known_order()
         if self.is_rowwise:
             name = hidden()
-            context.df = context.df.withColumn(name, F.struct(*sort_columns_or_id(context)))
+            row = F.struct(*sort_columns_or_id(context))
+            context.df = context.df.withColumn(name, row)
             context.groups = [name]
         return context, list(self.groups if by is None else by)
 
@@ -85,7 +88,7 @@ class RowVerbs:
         """Rows by their place in their group: positive ones are taken, repeats included, negative ones dropped."""
         context, groups = self._group_context(_by)
         given = [p for q in positions for p in (q if isinstance(q, (list, tuple, range)) else [q])]
-        if builtin_any(isinstance(p, (str, bool)) for p in given):
+        if any(isinstance(p, (str, bool)) for p in given):
             raise TypeError("positions are numbers")
         number = context.settled(F.row_number().over(context.window()))
         if not given:
@@ -98,6 +101,8 @@ class RowVerbs:
             context.df = context.df.filter(~number.isin(out))
             order = self._grouped_order(context, groups, _name(context, number), context.order) if groups else context.order
             return self._with(context.df, order=order)
+        if all_numbers(given):  # a limit that Spark applies before the shuffle
+            context.df = context.df.filter(number <= max(math.trunc(p or 0) for p in given))
         places = F.array(*(F.struct(F.lit(k).alias("slot"), (context.build(as_expr(p)) if isinstance(p, Expr) else F.lit(None if p is None else math.trunc(p))).cast("long").alias("at")) for k, p in enumerate(given)))
         slots = F.transform(F.filter(places, lambda s: s["at"] == number), lambda s: s["slot"])
         name = hidden("o")
@@ -106,8 +111,10 @@ class RowVerbs:
         return self._with(context.df, order=order)
 
     def _ends(self, n: int | None, prop: float | None, by: Any, tail: bool):
-        if not tail and prop is None and (n is None or n >= 0) and by is None and not self.groups and not self.is_rowwise and self.order:
-            return self._with(self._df.orderBy(*sort_columns(self.order)).limit(1 if n is None else math.floor(n)))
+        frame = self.with_order()
+        if prop is None and (n is None or n >= 0) and by is None and not self.groups and not self.is_rowwise and frame.order:
+            backwards = [F.asc_nulls_first(quoted(c)) if down else F.desc_nulls_first(quoted(c)) for c, down in frame.order]
+            return frame._with(frame._df.orderBy(*(backwards if tail else sort_columns(frame.order))).limit(1 if n is None else math.floor(n)))
         context, groups = self._group_context(by)
         spec = context.window()
         number = context.settled(F.row_number().over(spec))
@@ -232,6 +239,7 @@ class RowVerbs:
             context = Context(frame._df, names, frame.order)
             number = context.settled(F.row_number().over(context.window()))
             return self._with(context.df.filter(number == 1), order=context.order)
+        frame = frame.with_order()
         if not frame.order:
             return self._with(frame._df.select(*keys).distinct(), order=())
         context = Context(frame._df, [], frame.order)
@@ -245,8 +253,8 @@ def sort_columns_or_id(context: Context) -> list[Column]:
     return [quoted(n) for n, _ in context.order]
 
 
-def builtin_any(values) -> bool:
-    return next((True for v in values if v), False)
+def all_numbers(values) -> bool:
+    return all(p is None or isinstance(p, (int, float)) for p in values)
 
 
 def _name(context: Context, column: Column) -> str:

@@ -77,6 +77,7 @@ class SetVerbs:
 
     def _bound(self, frames: list, ids: list[Any] | None = None, id_name: str | None = None):
         """The tables one after another, each in its own order."""
+        frames = [f.with_order() for f in frames]
         source = hidden("o")
         depth = max((len(f.order) for f in frames), default=0) if all(not down for f in frames for _, down in f.order) else 1
         order = [hidden("o") for _ in range(depth)]
@@ -116,6 +117,7 @@ class SetVerbs:
         names: list[str] = []
         for k, f in enumerate([self, *others]):
             context = Context(f._df, [], f.order)
+            context.row_order()
             place = "__place"
             df = context.df.withColumn(place, F.row_number().over(context.window()))
             counts.add(df.count())

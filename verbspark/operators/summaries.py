@@ -32,12 +32,14 @@ class SummaryVerbs:
             frame = self.transmute_rowwise(given, named_)
             return frame._with(frame._df, groups=[] if _groups == "drop" else keys, rowwise=_groups == "rowwise")
         context = Context(self._df, keys, self.order)
+        if by is not None:
+            context.known_order()
         summary = Summary(context, keys)
         parts = [(name, e) for name, e in expanded(self.fields, keys, given, named_) if e is not None]
         for name, e in parts:
             summary.add(name, e)
         extra = {}
-        if by is not None and self.order and not any(x.alone for _, e in parts for x in e.walk()):
+        if by is not None and context.order and not any(x.alone for _, e in parts for x in e.walk()):
             extra[hidden("o")] = F.min(context.position())
         df = summary.frame(extra)
         order = [(n, False) for n in extra]
@@ -106,10 +108,11 @@ class SummaryVerbs:
             names = [c for c in out.columns if c not in self.groups]
         else:
             context = Context(self._df, keys, self.order)
+            context.known_order()
             summary = Summary(context, keys)
             for name, e in expanded(self.fields, keys, given, named_):
                 summary.add(name, e)
-            extra = {hidden("o"): F.min(context.position())} if by is not None and self.order else {}
+            extra = {hidden("o"): F.min(context.position())} if by is not None and context.order else {}
             df = summary.frame(extra)
             order = [(n, False) for n in extra]
             if by is None:

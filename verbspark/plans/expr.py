@@ -44,14 +44,11 @@ class Expr:
         """Columns that the expression reads."""
         return {e.name for e in self.walk() if isinstance(e, Col)}
 
-    def replaced(self, mapping: dict[str, Expr]) -> Expr:
-        """The expression with columns replaced by other expressions."""
-        if not self.children:
-            return self
+    def with_children(self, children: Iterable[Expr]) -> Expr:
+        """The same node over other children."""
         out = object.__new__(type(self))
         out.__dict__.update(self.__dict__)
-        out.children = tuple(c.replaced(mapping) for c in self.children)
-        out.as_window = self.as_window.replaced(mapping) if self.as_window is not None else None
+        out.children = tuple(children)
         return out
 
     def _op(self, label: str, other: Any, f: Callable[[Column, Column], Column]) -> Expr:
@@ -131,9 +128,6 @@ class Col(Expr):
     def build(self, context, *columns: Column) -> Column:
         return quoted(self.name)
 
-    def replaced(self, mapping: dict[str, Expr]) -> Expr:
-        return mapping.get(self.name, self)
-
 
 class Lit(Expr):
     def __init__(self, value: Any):

@@ -28,6 +28,21 @@ def is_hidden(name: str) -> bool:
 Order = tuple[tuple[str, bool], ...]  # hidden column and whether it descends
 
 
+def file_order(df: DataFrame) -> tuple[DataFrame, Order]:
+    """The data with its files' row order as hidden columns, where files still show through it.
+
+    Only asked for when an order is needed, so that other plans do not number
+    the rows of their scans.
+    """
+    file, row = hidden("o"), hidden("o")
+    try:
+        found = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        found.schema  # analysed here
+    except AnalysisException:
+        return df, ()
+    return found, ((file, False), (row, False))
+
+
 def sort_columns(order: Order) -> list[Column]:
     return [F.desc_nulls_last(quoted(n)) if down else F.asc_nulls_last(quoted(n)) for n, down in order]
 
@@ -73,7 +88,13 @@ class Context:
         spec = Window.partitionBy(*(quoted(g) for g in self.groups), *(within or []))
         return spec.orderBy(*(by or []), *([] if ties else self.row_order()))
 
+    def known_order(self) -> None:
+        """Keeps the files' row order, before it can no longer be asked for."""
+        if not self.order:
+            self.df, self.order = file_order(self.df)
+
     def row_order(self) -> list[Column]:
+        self.known_order()
         if not self.order:
             name = hidden("o")
             self.df = self.df.withColumn(name, F.monotonically_increasing_id())
@@ -116,6 +137,7 @@ class Context:
             self.over = lambda a: a
             return out, True
         name = hidden()
+        self.known_order()
         value = expr.build(self, *columns)
         self.df = self.df.crossJoin(F.broadcast(self.df.agg(value.alias(name))))  # one row
         return quoted(name), False
@@ -128,6 +150,7 @@ class Context:
 
     def looked_up(self, table: DataFrame, name: str) -> Column:
         """A value of a table with a row per group, as a hidden column."""
+        self.known_order()
         out = hidden()
         keys = {g: hidden("k") for g in self.groups}
         side = table.select(*(quoted(g).alias(k) for g, k in keys.items()), quoted(name).alias(out))

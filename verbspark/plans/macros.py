@@ -53,7 +53,7 @@ class Across(Macro):
             out.append((names.replace("{col}", new).replace("{fn}", f or "1"), as_expr(value)))
         if len({n for n, _ in out}) < len(out):
             raise ValueError("across() makes equal names")
-        return out
+        return [(name, e if e is None else _resolved(e, fields, groups)) for name, e in out]
 
 
 class Quantified(Macro):
@@ -66,6 +66,30 @@ class Quantified(Macro):
         return [("", reduce(self.join, tests) if tests else Lit(self.empty))]
 
 
+class CAcross(Expr):
+    """Selected columns of each row as one array, resolved where the expression is used."""
+
+    def __init__(self, columns: Any):
+        super().__init__("c_across")
+        self.columns = columns
+
+
+def c_across(columns: Any = None) -> CAcross:
+    """Columns of each row, never grouping columns, as one array."""
+    return CAcross(everything() if columns is None else columns)
+
+
+def _resolved(e: Expr, fields: Fields, groups: list[str]) -> Expr:
+    if isinstance(e, CAcross):
+        from ..functions.scalars import c_array
+
+        free = [f for f in fields if f.name not in groups]
+        return c_array(*(Col(c) for c in resolve(free, groups, [e.columns]).values()))
+    if not any(isinstance(x, CAcross) for x in e.walk()):
+        return e
+    return e.with_children(_resolved(c, fields, groups) for c in e.children)
+
+
 def pick(*given: Any) -> Pick:
     """Some columns, never grouping columns."""
     return Pick(given)
@@ -106,4 +130,4 @@ def expanded(fields: Fields, groups: list[str], given: Iterable[Any], named: dic
                 out.append((name, struct_of(dict(parts))))
         else:
             out.append((name, None if value is None else as_expr(value)))
-    return out
+    return [(name, e if e is None else _resolved(e, fields, groups)) for name, e in out]

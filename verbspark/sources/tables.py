@@ -6,24 +6,18 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import Frame
 from ..plans.lower import hidden
 
-#: Formats whose scans number their rows, so that the row order is the file's.
-_NUMBERED = ("parquet",)
-
-
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | T.StructType | None = None, **options: Any) -> Frame:
-    """A frame of files: parquet, orc, csv, json, text or any other source of Spark."""
+    """A frame of files: parquet, orc, csv, json, text or any other source of Spark.
+
+    The row order of Parquet files is known, and taken when a verb needs it.
+    """
     reader = spark.read.format(kind).options(**options)
-    df = (reader.schema(schema) if schema is not None else reader).load(path)
-    if kind not in _NUMBERED:
-        return Frame(df)
-    file, row = hidden("o"), hidden("o")
-    return Frame(df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), order=((file, False), (row, False)))
+    return Frame((reader.schema(schema) if schema is not None else reader).load(path))
 
 
 def tbl(source: Any, name: str | None = None, **options: Any) -> Frame:

@@ -190,20 +190,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     that are not named are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, *carry]
+    names = list(dict.fromkeys([id_col, *carry]))
+    read = list(dict.fromkeys([*names, text_col]))  # a carried text goes to Python once
+    text_at = read.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for part in _parts(b, 0):
-                text, feature, values = densities(part.column(0), model.features)
+            for part in _parts(b, text_at):
+                text, feature, values = densities(part.column(text_at), model.features)
                 z = np.full(part.num_rows, model.bias)
                 if len(feature):
                     z += np.bincount(text, weights=model.weights[feature] * values, minlength=part.num_rows)
                 value = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i + 1) for i in range(len(names))), pa.array(value)], names=[*(f"c{i}" for i in range(len(names))), "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(value)], names=[*(f"c{i}" for i in range(len(names))), "score"])
 
-    rows = docs.select(F.col(text_col).alias("body"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(read)))
     kinds = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(names)))
     out = rows.mapInArrow(run, f"{kinds}, score double")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score")

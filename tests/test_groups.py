@@ -107,10 +107,14 @@ def test_nesting_and_functions(spark):
 
 def test_factor_levels_without_rows(spark):
     x = frame(spark, "f string, g int, v int", ("a", 1, 1), ("a", 1, 2), ("b", 2, 3))
-    leveled = x._with(x._df.withMetadata("f", {"levels": ["a", "b", "c"]}))
+    leveled = x.factor("f", ["a", "b", "c"])
+    turned = x.factor("f", ["c", "b", "a"])
+    assert values(turned.arrange("f"), "f") == ["b", "a", "a"] and rows(turned.count("f", _drop=False)) == [("c", 0), ("b", 1), ("a", 2)]
+    assert rows(turned.group_by("f").summarise(n=f.n())) == [("b", 1), ("a", 2)] and values(x.factor("f", ["a"]), "f") == ["a", "a", NA]
+    assert rows(x.factor("f").recode_factor("f", {"b": "z"}).count("f")) == [("z", 1), ("a", 2)]
     assert rows(leveled.count("f", _drop=False)) == [("a", 2), ("b", 1), ("c", 0)]
     assert sorted(rows(leveled.group_by("f", "g", _drop=False).summarise(n=f.n(), m=f.mean("v"), _groups="drop")), key=str) == sorted([("a", 1, 2, 1.5), ("b", 2, 1, 3.0), ("c", NA, 0, NA)], key=str)
-    assert leveled.group_by("f").group_trim()._df.schema["f"].metadata == {"levels": ["a", "b"]}
+    assert leveled.group_by("f").group_trim().schema["f"].metadata["levels"] == ["a", "b"]
 
 
 def test_cube_and_rollup(spark):

@@ -269,8 +269,7 @@ def _changes(t: Tables) -> Frame:
 
 
 def _leveled(t: Tables) -> Frame:
-    kept = t.events.filter(col("event_type").isin("click", "error", "view"))
-    return kept._with(kept._df.withMetadata("event_type", {"levels": ["click", "error", "none", "view"]}))
+    return t.events.filter(col("event_type").isin("click", "error", "view")).factor("event_type", ["click", "error", "none", "view"])
 
 
 _all()

@@ -54,6 +54,10 @@ class Frame(ColumnVerbs, RowVerbs, GroupVerbs, SummaryVerbs, JoinVerbs, SetVerbs
     def schema(self) -> T.StructType:
         return T.StructType(self.fields)
 
+    @property
+    def is_grouped(self) -> bool:
+        return bool(self.groups) and not self.is_rowwise
+
     @property
     def df(self) -> DataFrame:
         """The visible columns, in no particular row order."""

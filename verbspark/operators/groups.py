@@ -107,6 +107,27 @@ class GroupVerbs:
     def group_rows(self) -> list[list[int]]:
         return self.group_data().pull(".rows")
 
+    def factor(self, column: str, levels: list[str] | None = None, ordered: bool = False):
+        """Gives a text column levels, in ascending order of its values by default; values without a level become missing.
+
+        Levels order the rows of arrange() and groups, and stand for empty groups.
+        """
+        if levels is None:
+            found = self._df.select(quoted(column)).where(quoted(column).isNotNull()).distinct().limit(DRIVER_GROUPS + 1).collect()
+            if len(found) > DRIVER_GROUPS:
+                raise ValueError(f"more than {DRIVER_GROUPS} levels")
+            levels = sorted(r[0] for r in found)
+        known = self._df.withColumn(column, F.when(quoted(column).isin(levels), quoted(column)))
+        return self._with(known.withMetadata(column, {"levels": list(levels), "ordered": ordered}))
+
+    def recode_factor(self, column: str, mapping: dict[str, str], default: str | None = None):
+        """New texts for a column's values, its levels in the order of the mapping."""
+        from ..functions.conditionals import recode
+
+        rest = [] if default is not None else [v for v in self._df.schema[column].metadata.get("levels", []) if v not in mapping]
+        out = self.mutate(**{column: recode(column, mapping, default)})
+        return out.factor(column, list(dict.fromkeys([*mapping.values(), *rest, *([default] if default is not None else [])])))
+
     def group_trim(self):
         """Without factor levels that no row has."""
         df = self._df

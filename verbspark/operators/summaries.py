@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.expr import Desc, Expr, named, quoted
-from ..plans.lower import Context, Summary, hidden
+from ..plans.lower import Context, Summary, hidden, level_key
 from ..plans.macros import expanded
 
 
@@ -45,7 +45,7 @@ class SummaryVerbs:
         order = [(n, False) for n in extra]
         if by is None and keys:
             names = [hidden("o") for _ in keys]
-            df = df.withColumns({n: quoted(k) for n, k in zip(names, keys)})
+            df = df.withColumns({n: level_key(self.schema, k) for n, k in zip(names, keys)})
             order = [(n, False) for n in names]
         df = df.select(*(quoted(k) for k in keys if k not in summary.results), *(c.alias(n) for n, c in summary.results.items()), *(quoted(n) for n, _ in order))
         if not self.drop and by is None and keys:
@@ -91,7 +91,7 @@ class SummaryVerbs:
             if c in summary.results and c in zero and isinstance(df.schema[c].dataType, T.LongType):
                 filled.append(F.coalesce(quoted(c), F.lit(0)).alias(c))
             elif c in order:
-                filled.append(quoted(keys[order.index(c)]).alias(c))
+                filled.append(level_key(self.schema, keys[order.index(c)]).alias(c))
             else:
                 filled.append(quoted(c))
         return out.select(*filled)

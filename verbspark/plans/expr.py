@@ -9,6 +9,7 @@ columns.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column
@@ -135,6 +136,8 @@ class Lit(Expr):
         self.value = value
 
     def build(self, context, *columns: Column) -> Column:
+        if isinstance(self.value, datetime) and self.value.tzinfo is None:  # a wall-clock time in any session's zone
+            return F.lit(self.value.isoformat(sep=" ")).cast("timestamp_ntz")
         return F.lit(self.value)
 
 

@@ -43,6 +43,15 @@ def file_order(df: DataFrame) -> tuple[DataFrame, Order]:
     return found, ((file, False), (row, False))
 
 
+def level_key(schema: T.StructType, name: str) -> Column:
+    """What a column sorts by: the places of its values among its levels, if it has levels."""
+    levels = schema[name].metadata.get("levels") if name in schema.names else None
+    if not levels:
+        return quoted(name)
+    place = F.array_position(F.array(*map(F.lit, levels)), quoted(name))
+    return F.when(place > 0, place)
+
+
 def sort_columns(order: Order) -> list[Column]:
     return [F.desc_nulls_last(quoted(n)) if down else F.asc_nulls_last(quoted(n)) for n, down in order]
 
@@ -160,7 +169,10 @@ class Context:
 
     def sort_key(self, expr: Expr) -> tuple[Column, bool]:
         down = isinstance(expr, Desc)
-        return self.without_nan(self.build(expr.children[0] if down else expr)), down
+        key = expr.children[0] if down else expr
+        if isinstance(key, Col) and key.name in self.df.columns and self.df.schema[key.name].metadata.get("levels"):
+            return level_key(self.df.schema, key.name), down
+        return self.without_nan(self.build(key)), down
 
 
 class Summary:

@@ -100,3 +100,18 @@ def test_components_of_a_chain(spark, n):
     links = spark.createDataFrame([(k + 1, k) for k in range(n)] + [(1, 1), (None, 3), (500, 501)], "a long, b long")
     got = {r.id: r.label for r in connected_components(links).collect()}
     assert got == {k: 0 for k in range(n + 1)} | {500: 500, 501: 500} | ({1: 0} if n else {})
+
+
+def test_links_that_differ_in_every_reading(spark):
+    def tree(batches):
+        import random
+
+        import pyarrow as pa
+
+        for _ in batches:
+            order = list(range(80))
+            random.SystemRandom().shuffle(order)
+            yield pa.RecordBatch.from_arrays([pa.array(order[1:], pa.int64()), pa.array(order[:-1], pa.int64())], names=["a", "b"])
+
+    links = spark.range(1, numPartitions=1).mapInArrow(tree, "a long, b long")
+    assert {r.id: r.label for r in connected_components(links).collect()} == {k: 0 for k in range(80)}

@@ -19,8 +19,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     rows with a null end are no links.  No links give no rows.
     """
     links = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
-    both = checkpointed(both.distinct())
+    # Both directions come from one reading of the links: two readings may hold different, equally good links.
+    ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
+    both = checkpointed(links.select(F.explode(ways).alias("way")).select("way.u", "way.v").distinct())
     smallest = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
     labels = checkpointed(smallest.select("id", F.least("id", "m").alias("label")))
     while True:

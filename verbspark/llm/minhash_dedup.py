@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = F.broadcast(wanted)
     sets = texts.join(wanted, "id", "left_semi").mapInArrow(_with_sets(size), "node long, shingles binary")
     tiles = placed.join(sets, "node").select("centre", "i", "j", "side", "node", "shingles")
-    tiles = tiles.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side")
+    tiles = tiles.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side", "node")
     links = tiles.mapInArrow(_confirmed(per_cent), "a long, b long")
 
     labels = connected_components(links)

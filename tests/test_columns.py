@@ -63,6 +63,9 @@ def test_across_and_pick(t):
     assert t.group_by("name").summarise(across(everything(), f.n_distinct)).columns == ["name", "x1", "x2", "y"]
     assert t.group_by("name").mutate(pick(everything())).columns == t.columns
     assert rows(t.rowwise().mutate(s=f.c_array("x1", "x2")).select("s")) == [([1, 2],), ([3, 4],)]
+    ends = t.summarise(across(starts_with("x"), lambda v: {"lo": f.min(v), "hi": f.max(v)}))
+    assert ends.columns == ["x1_lo", "x1_hi", "x2_lo", "x2_hi"] and rows(ends) == [(1, 3, 2, 4)]
+    assert values(t.mutate(across("y", lambda v: f.paste(v.name))), "y") and t.summarise(across("y", {"m": f.mean})).columns == ["y_m"]
     with pytest.raises(ValueError):
         pick()
 

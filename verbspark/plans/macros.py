@@ -50,7 +50,11 @@ class Across(Macro):
         out = []
         for new, f in pairs:
             value = self.functions[f](Col(found[new])) if self.functions[f] is not None else Col(found[new])
-            out.append((names.replace("{col}", new).replace("{fn}", f or "1"), as_expr(value)))
+            name = names.replace("{col}", new).replace("{fn}", f or "1")
+            if isinstance(value, dict):  # several results of one function
+                out += [(f"{name}_{inner}", as_expr(e)) for inner, e in value.items()]
+            else:
+                out.append((name, as_expr(value)))
         if len({n for n, _ in out}) < len(out):
             raise ValueError("across() makes equal names")
         return [(name, e if e is None else _resolved(e, fields, groups)) for name, e in out]
@@ -96,7 +100,11 @@ def pick(*given: Any) -> Pick:
 
 
 def across(columns: Any = None, functions: Any = None, names: str | None = None) -> Across:
-    """A function, or a list or dict of functions, of each column; names has {col} and {fn}."""
+    """A function, or a list or dict of functions, of each column; names has {col} and {fn}.
+
+    A function may return a dict, whose results become columns of their own.
+    The column's name is the argument's `name`.
+    """
     return Across(everything() if columns is None else columns, functions, names)
 
 

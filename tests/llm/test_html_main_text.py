@@ -70,3 +70,19 @@ def test_shuffled_templates_and_no_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted(r.text for r in H.extract(df).collect()) == [f"x{i}" for i in range(6)]
     assert H.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, -1])
+def test_rotating_blocks_of_a_large_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(H, "BROADCAST_HASHES", broadcast)
+    rows = []
+    for i in range(600):  # each block is on 10 of 600 pages
+        box = f"<div class=box><p>Rotating notice {i % 60}</p></div>"
+        rows.append((i, f"http://big.example/{i}", f"<body>{box}<div><p>story {i}</p></div><ul><li>link {i % 60}</ul></body>"))
+        rows.append((1000 + i, f"http://art.example/{i}", f"<article><p>told {i % 60}</p>{box}<ul><li>item {i % 60}<li>own {i}</ul></article>"))
+    rows += [(2000 + i, f"http://few.example/{i}", f"<div><p>on four pages</p></div><p>x{i}</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert [got[i] for i in range(600)] == [f"story {i}" for i in range(600)]
+    assert [got[1000 + i] for i in range(600)] == [f"told {i % 60}\n\nitem {i % 60}\n\nown {i}" for i in range(600)]
+    assert [got[2000 + i] for i in range(4)] == [f"on four pages\n\nx{i}" for i in range(4)]

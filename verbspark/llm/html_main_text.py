@@ -2,10 +2,13 @@
 
 Every element's subtree is hashed with its tag, class, id and text.  Spark
 counts, for each host, in how many different pages a subtree occurs; copies of
-a page count once.  A subtree that recurs in many pages of its host belongs to
-the site's template and is deleted.  Prose inside an article (paragraphs,
-headings, quotations, preformatted text) is never taken for a template, since
-articles of a site do repeat passages.  Parts that HTML itself marks as no
+a page count once.  A subtree that recurs in several pages of its host belongs
+to the site's template and is deleted, however many pages the host has: adverts,
+notices and boxes take turns, and a host may have several layouts.  Prose inside
+an article (paragraphs, headings, quotations, preformatted text) is never taken
+for a template, since articles of a site do repeat passages; items of lists and
+cells of tables inside an article are one only if they also occur in a large
+share of the host's pages.  Parts that HTML itself marks as no
 article (menus, forms, scripts, comments of readers and the like) are deleted
 on every page, also where a host has one page only.
 """
@@ -17,15 +20,16 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import checkpointed
 
-#: A subtree is a template if it occurs in so many different pages of its host, and in this share of them.
+#: A subtree is a template if it occurs in so many different pages of its host; for parts of an article's lists and tables, also in this share of them.
 MIN_PAGES, SHARE = 5, 0.2
-#: Up to so many template hashes (8 bytes each) are sent to all executors; more are joined by a shuffle.
+#: Up to so many template hashes (9 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)[^>]*>", re.S)
@@ -41,6 +45,7 @@ _BLOCK = frozenset(
 _ENDS_P = _BLOCK - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead title tr".split()) | {"li", "dd", "dt"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "optgroup"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_PARTS = frozenset("caption dd dt figcaption li tbody td tfoot th thead tr".split())
 _NO_TEXT = frozenset("head script style noscript template svg math iframe object embed canvas audio video map title noembed noframes form fieldset button select textarea input label dialog menu nav aside footer search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 
@@ -159,8 +164,13 @@ class Page:
                 out[self.parents[number]] = True
         return out
 
-    def text(self, template: set[int] | frozenset[int]) -> str:
-        """The blocks of the article, without its dropped parts and without template subtrees."""
+    def text(self, template: set[int] | frozenset[int], often: set[int] | frozenset[int] | None = None) -> str:
+        """The blocks of the article, without its dropped parts and without template subtrees.
+
+        Parts of an article's lists and tables are looked up in `often`, all
+        else in `template`; without `often`, they are looked up there as well.
+        """
+        often = template if often is None else often
         hashes = self.hashes() if template else []
         countable = set(self.countable()) if template else ()
         holds = self._holding()
@@ -169,7 +179,8 @@ class Page:
         for n in range(1, len(self.tags)):
             parent = self.parents[n]
             own = self.noise[n] and not (holds[n] and not self.inside[n] and self.tags[n] not in ("nav", "aside", "footer"))
-            dropped[n] = dropped[parent] or own or (n in countable and hashes[n] in template)
+            part = self.inside[n] and self.tags[n] in _PARTS
+            dropped[n] = dropped[parent] or own or (n in countable and hashes[n] in (often if part else template))
             articles = articles or (self.article[n] and not dropped[n])
         blocks: list[str] = []
         line: list[str] = []
@@ -218,27 +229,63 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Templates:
+    """Template hashes by host, for lookups of a page's own hashes."""
+
+    def __init__(self, hosts: pa.ChunkedArray, hashes: np.ndarray, often: np.ndarray):
+        coded = hosts.combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((hashes, codes))
+        self._hashes, self._often = hashes[order], often[order]
+        cuts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        self._places = {host: (int(cuts[k]), int(cuts[k + 1])) for k, host in enumerate(coded.dictionary.to_pylist())}
+
+    def of(self, host: str, hashes: list[int]) -> tuple[list[int], list[int]]:
+        """Those of a page's hashes that are templates of its host, and those of them that occur often."""
+        a, b = self._places.get(host, (0, 0))
+        if a == b:
+            return [], []
+        own = np.array(hashes, dtype=np.int64)
+        at = np.minimum(a + np.searchsorted(self._hashes[a:b], own), b - 1)
+        known = self._hashes[at] == own
+        return own[known].tolist(), own[known & self._often[at]].tolist()
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, url, html, host) with the digest of the page."""
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
-            texts = [Page(source).text(frozenset(template or ())) for source, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
+            digests = [Page(source).hashes()[0] for source in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.int64())], names=["id", "url", "html", "host", "page"])
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, template): for each host the hashes of its template subtrees.
+def _extracted(batches: Iterator[pa.RecordBatch], known: Templates | None) -> Iterator[pa.RecordBatch]:
+    """(id, url, html, host), or with templates already joined (id, url, html, template, often), becomes (id, url, text)."""
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            pages = [Page(source) for source in part.column(2).to_pylist()]
+            if known:
+                found = [known.of(host, page.hashes()) for page, host in zip(pages, part.column(3).to_pylist())]
+            else:
+                found = list(zip(part.column(3).to_pylist(), part.column(4).to_pylist()))
+            texts = [page.text(frozenset(template or ()), frozenset(often or ())) for page, (template, often) in zip(pages, found)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    `pages` has host and html.  A host's list has at most 1 / share times as
-    many entries as its pages have elements on average.
-    """
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, hashes): the different pages of each host with the hashes that may be templates; `pages` has host and html."""
     described = pages.mapInArrow(_described, "host string, page long, hashes array<long>")
-    distinct = checkpointed(described.groupBy("host", "page").agg(F.first("hashes").alias("hashes")))
-    totals = checkpointed(distinct.groupBy("host").agg(F.count("*").alias("pages")))
+    return checkpointed(described.groupBy("host", "page").agg(F.first("hashes").alias("hashes")))
+
+
+def site_templates(distinct: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """(host, hash, often): the template subtrees of each host, and whether they occur in that share of its pages."""
+    totals = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = checkpointed(counts.where(F.col("n") >= min_pages))
-    often = counts.join(totals, "host").where(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    return checkpointed(counts.join(totals, "host").select("host", "hash", (F.col("n") >= F.col("pages") * share).alias("often")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
@@ -256,10 +303,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    templates = checkpointed(site_templates(rows.select("host", "html"), min_pages, share))
-    if (templates.agg(F.sum(F.size("template") + 8)).first()[0] or 0) <= BROADCAST_HASHES:
-        templates = F.broadcast(templates)
-    joined = rows.join(templates, "host", "left").select("id", "url", "html", "template")
+    distinct = distinct_pages(rows.select("host", "html"))
+    templates = site_templates(distinct, min_pages, share)
     kind = rows.schema["id"].dataType.simpleString()
-    out = joined.mapInArrow(_extracted, f"id {kind}, url string, text string")
+    if templates.count() <= BROADCAST_HASHES:
+        held = templates.toArrow()
+        shared = pages.sparkSession.sparkContext.broadcast(Templates(held.column("host"), held.column("hash").to_numpy(), held.column("often").to_numpy()))
+        out = rows.mapInArrow(lambda batches: _extracted(batches, shared.value), f"id {kind}, url string, text string")
+    else:
+        own = distinct.select("host", "page", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"])
+        own = own.groupBy("host", "page").agg(F.collect_list("hash").alias("template"), F.collect_list(F.when(F.col("often"), F.col("hash"))).alias("often"))
+        joined = rows.mapInArrow(_digested, f"id {kind}, url string, html string, host string, page long").join(own, ["host", "page"], "left")
+        out = joined.select("id", "url", "html", "template", "often").mapInArrow(lambda batches: _extracted(batches, None), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,22 @@ def test_edge_cases(spark):
     assert M.fit_and_score(df.limit(0)).collect() == []
     nothing = M.fit_and_score(df.where("doc_id < 3")).withColumn("ok", F.col("log_likelihood") == 0).collect()
     assert [r.per_token for r in nothing] == [None, None] and all(r.ok for r in nothing)
+
+
+def test_every_counted_word_has_a_probability_of_its_own(spark):
+    own = M.VOCABULARY - M.HASHED
+    frequent = [(i, f"f{i} " * 9) for i in range(own)]
+    rare = [(own + i, f"r{i} " * (1 + i % 3)) for i in range(900)]
+    df = spark.createDataFrame(frequent + rare, "doc_id long, text string").repartition(3)
+    known = M.vocabulary(df)
+    p = M.start(known.weights)
+    probe = spark.createDataFrame([(f"r{i}", f"r{i}") for i in range(900)] + [("new", "neverseen")], "doc_id string, text string")
+    got = {r.doc_id: r.log_likelihood for r in M.score(probe, known, p).collect()}
+    names = [f"r{i}" for i in range(900)] + ["neverseen"]
+    hashes = M.words(pa.array(names), M.SEPARATORS).hashes
+    ids = known.ids(hashes)
+    counts = np.array([1 + i % 3 for i in range(900)] + [0.5])
+    tokens = np.bincount(ids[:900] - own, weights=counts[:900], minlength=M.HASHED)
+    network = M.log_probabilities(p, ids, M.contexts(ids, np.arange(len(ids) + 1)))
+    expected = network + np.log(counts / (tokens[ids - own] + 0.5))
+    assert [got[n] for n in [*names[:900], "new"]] == pytest.approx(expected.tolist(), abs=1e-6)

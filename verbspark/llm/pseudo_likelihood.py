@@ -5,10 +5,12 @@ masked, by a small window network; the summed conditional log-probabilities
 score the text.
 
 Tokens are words; the most frequent words of the whole corpus have an id each
-and the others share hashed ids.  The network adds the embeddings of the
-neighbours, weighted by place, and predicts first the class of the token and
-then the token within its class, which costs the square root of a full
-softmax.
+in the network and the others share hashed ids.  The network adds the
+embeddings of the neighbours, weighted by place, and predicts first the class
+of the token and then the token within its class, which costs the square root
+of a full softmax.  A word that shares its id is then predicted among the words
+of that id, by their counts over the whole corpus.  The table of counts grows
+with the corpus; it is joined to the tokens and never sent anywhere whole.
 
 Training reads the whole corpus once: each task trains its own copy on all its
 tokens from a common start, and the copies are averaged by their tokens, block
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import checkpointed
 from .text_kernels import words
 
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -36,6 +39,7 @@ WIDTH, BATCH, RATE = 16, 8192, 0.05
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 1_000_000
 _BLOCK = 2048
+_UNIT = 2.0**32
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 _SHAPES = {
     "embedding": (VOCABULARY + 1, WIDTH), "place": (len(_OFFSETS), WIDTH), "bias": (WIDTH,), "class_out": (CLASSES, WIDTH), "class_bias": (CLASSES,),
@@ -46,9 +50,15 @@ Parameters = dict[str, np.ndarray]
 
 
 class Vocabulary:
-    """Ids of words by their hash: frequent ones in order of frequency, then the hashed rest."""
+    """Ids of words by their hash: frequent ones in order of frequency, then the hashed rest.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+    `rest` has the number of tokens of each hashed id, `table` the counts
+    (word, n) of all words; without it, no word is without an id of its own.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, rest: np.ndarray | None = None, table: DataFrame | None = None):
+        self.rest = np.zeros(HASHED) if rest is None else rest
+        self.table = table
         order = np.argsort(hashes, kind="stable")
         self._hashes, self._ids = hashes[order], order
         own = np.full(VOCABULARY, max(1.0, (total - counts.sum()) / HASHED))
@@ -56,6 +66,9 @@ class Vocabulary:
         own[: len(counts)] = counts
         self.weights = own
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "table": None}  # executors have no use for a DataFrame
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = (VOCABULARY - HASHED + (hashes % np.uint64(HASHED)).astype(np.int64)).astype(np.int32)
         if len(self._hashes):
@@ -245,12 +258,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The most frequent words of all texts; equal counts go by hash."""
-    counts = docs.select(F.col(text_col).alias("body")).mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """All words of all texts, the most frequent with an id each; equal counts go by hash."""
+    counts = checkpointed(docs.select(F.col(text_col).alias("body")).mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     ranked = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - HASHED + 1).collect()
     total = sum(r.n for r in ranked if r.word is None)
     ranked = [r for r in ranked if r.word is not None]
-    return Vocabulary(np.array([r.word for r in ranked], dtype=np.int64).view(np.uint64), np.array([r.n for r in ranked], dtype=np.float64), total)
+    hashes, numbers = np.array([r.word for r in ranked], dtype=np.int64).view(np.uint64), np.array([r.n for r in ranked], dtype=np.float64)
+    if total <= numbers.sum():
+        return Vocabulary(hashes, numbers, total)
+    rest = -np.bincount((hashes % np.uint64(HASHED)).astype(np.int64), weights=numbers, minlength=HASHED)
+    counts = counts.where("word is not null")
+    for r in counts.groupBy(F.pmod("word", F.lit(HASHED)).alias("id")).agg(F.sum("n").alias("n")).collect():
+        rest[r.id] += r.n
+    return Vocabulary(hashes, numbers, total, rest, counts)
 
 
 def train(docs: DataFrame, words_known: Vocabulary, text_col: str = "text") -> Parameters:
@@ -297,7 +317,7 @@ def score(docs: DataFrame, words_known: Vocabulary, parameters: Parameters, id_c
 
     A null or empty text has no tokens, log_likelihood 0 and a null per_token.
     Null and repeated ids are kept, a row each.  No rows give no rows.  Other
-    columns are not read.
+    columns are not read.  A word that was not counted has half a count.
     """
     shared = docs.sparkSession.sparkContext.broadcast((words_known, parameters))
 
@@ -307,14 +327,28 @@ def score(docs: DataFrame, words_known: Vocabulary, parameters: Parameters, id_c
             for part in _parts(b, 1):
                 w = words(part.column(1), SEPARATORS)
                 ids = known.ids(w.hashes)
-                logp = np.concatenate(([0.0], np.cumsum(log_probabilities(p, ids, contexts(ids, w.bounds)))))
+                logp = log_probabilities(p, ids, contexts(ids, w.bounds))
+                hashed = ids >= VOCABULARY - HASHED
+                logp[hashed] -= np.log(known.rest[ids[hashed] - (VOCABULARY - HASHED)] + 0.5)
+                logp = np.concatenate(([0.0], np.cumsum(logp)))
                 total, n = logp[w.bounds[1:]] - logp[w.bounds[:-1]], np.diff(w.bounds)
-                each = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), each], names=["id", "n_tokens", "log_likelihood", "per_token"])
+                cuts = np.concatenate(([0], np.cumsum(hashed)))[w.bounds]
+                rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(w.hashes[hashed].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), rest], names=["id", "n_tokens", "log_likelihood", "rest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double, per_token double")
-    return out.withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double, rest array<long>")
+    if words_known.table is None:
+        within = F.size("rest") * F.log(F.lit(0.5))
+    else:
+        out = checkpointed(out.withColumn("row", F.monotonically_increasing_id()))
+        words_of = out.select("row", F.explode("rest").alias("word")).join(words_known.table, "word", "left")
+        part = F.round(F.log(F.coalesce("n", F.lit(0.5))) * _UNIT).cast("long")  # whole numbers: any order gives the same sum
+        out = out.drop("rest").join(words_of.groupBy("row").agg(F.sum(part).alias("within")), "row", "left")
+        within = F.coalesce("within", F.lit(0)) / _UNIT
+    out = out.select("id", "n_tokens", F.least(F.col("log_likelihood") + within, F.lit(0.0)).alias("log_likelihood"))
+    each = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", each.alias("per_token"))
 
 
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,10 +55,11 @@ BASE_RULES = (
 )
 #: Published formats of other secrets.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----)?"),
+    # To the END line if there is one before the next key, otherwise over header lines and key lines.
+    Rule("pem", r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----|(?:[ \t\r]*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*[A-Za-z0-9+/=\s]*)", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
     Rule("hosting", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("url_password", r"://[^\s/:@]{1,64}:[^\s/@]{6,128}@"),
+    Rule("url_password", r"://[^\s/:@]*:[^\s/@]{6,}@", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 

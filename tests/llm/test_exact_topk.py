@@ -52,3 +52,12 @@ def test_empty_and_fewer_than_k(spark):
 def test_select_keeps_ties_by_id():
     s, i = K.select(np.array([5, 7, 7, 7, 1]), np.array([9, 8, 3, 5, 1]), 3, 2)
     assert s.tolist() == [7, 7] and i.tolist() == [5, 8]
+
+
+def test_large_components_take_part(spark):
+    rows = [(0, [1e13, 0.0]), (1, [0.001, 1.0]), (2, [0.002, 1.0]), (3, [-1e13, 0.0]), (4, [-1e300, 1.0])]
+    q = K.quantised(spark.createDataFrame(rows, "vec_id long, v array<double>"), "v", 1024)
+    got = sorted(tuple(r) for r in K.top_k(q.where("vec_id in (0, 1)"), q, "vec_id", "v", 4).collect())
+    big, limit = 1024 * 10**13, 2**63
+    assert got[:4] == [(0, 1, 2, 2 * big), (0, 2, 1, big), (0, 3, 3, -limit), (0, 4, 4, -limit)]
+    assert got[4:] == [(1, 1, 0, big), (1, 2, 2, 2 + 1024**2), (1, 3, 3, -big), (1, 4, 4, -limit + 1024**2)]

@@ -33,10 +33,10 @@ def quantised(vectors: DataFrame, vector_col: str, scale: int) -> DataFrame:
     """Replaces each component x by floor(scale * x), x as double.
 
     Rows whose vector is null or holds a null or a non-finite component are
-    left out, and so are those with a component beyond 2 ** 53 once scaled,
-    which no integer product can hold.
+    left out.  Components beyond 64 bits once scaled are held at the limit, as
+    scores are.
     """
-    bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * scale) >= float(_EXACT_FLOAT)))
+    bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     kept = vectors.where(F.col(vector_col).isNotNull() & ~F.coalesce(bad, F.lit(True)))
     return kept.withColumn(vector_col, F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)))
 
@@ -70,7 +70,8 @@ def _packed(rows: int):
 
 def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """Inner products as exact integers, by floating point where that is exact."""
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * max(1, queries.shape[1])
+    largest = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    top = largest(queries) * largest(shard) * max(1, queries.shape[1])
     if top < _EXACT_FLOAT:
         return (queries.astype(np.float64) @ shard.astype(np.float64).T).astype(np.int64)
     if top < 2**63:

@@ -7,8 +7,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from verbspark.llm import components
 from verbspark.llm import minhash_dedup as M
 from verbspark.llm.components import connected_components
+from verbspark.llm.session import checkpointed
 
 DATA = "/root/testdata/sf0.01"
 
@@ -115,3 +117,42 @@ def test_links_that_differ_in_every_reading(spark):
 
     links = spark.range(1, numPartitions=1).mapInArrow(tree, "a long, b long")
     assert {r.id: r.label for r in connected_components(links).collect()} == {k: 0 for k in range(80)}
+
+
+@pytest.mark.parametrize("n, rounds", [(80, 8), (10_000, 14)])
+def test_a_shuffled_path_takes_few_rounds(spark, monkeypatch, n, rounds):
+    made = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: made.append(None) or checkpointed(df))
+    order = list(range(n))
+    random.Random(n).shuffle(order)
+    links = spark.createDataFrame(list(zip(order[1:], order[:-1])), "a long, b long").repartition(4)
+    labels = connected_components(links)
+    assert (labels.count(), labels.where("label != 0").count()) == (n, 0)
+    assert len(made) <= 2 + 3 * rounds  # the links, three tables a round, and the last round's first
+
+
+def test_star_of_many_links(spark):
+    labels = connected_components(spark.range(1, 50_001).selectExpr("id AS a", "50001 - id % 2 * 50001 AS b"))
+    assert [tuple(r) for r in labels.groupBy("label").count().orderBy("label").collect()] == [(0, 25_001), (2, 25_001)]
+
+
+def test_a_long_chain_of_near_copies(spark):
+    """Each version changes the one before a little, so the first and the last have nothing in common."""
+    words = [f"w{k}" for k in range(460)]
+    order = list(range(150))
+    random.Random(7).shuffle(order)
+    rows = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in order] + [(1000, "something else of a few words")]
+    got = result(M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert got == {i: (56, 0, i == 0) for i in range(150)} | {1000: (2, 1000, True)}
+
+
+def test_tiles_of_a_hot_centre_are_linear(spark, monkeypatch):
+    """Copies that are near their centre meet it alone; the few that are not meet all tiles."""
+    monkeypatch.setattr(M, "TILE_ROWS", 10)
+    near = spark.createDataFrame([(0, k, 50) for k in range(1000)], "centre long, node long, n long")
+    extent = near.groupBy("centre").agg(M._tiles().alias("tiles"))
+    assert M._own_tiles(near, extent).count() == 999 + 100
+    labels = spark.createDataFrame([(k, 0) for k in range(990)], "id long, label long")
+    apart = M._apart(near, labels)
+    assert apart.where("free").count() == 10
+    assert M._other_tiles(apart).count() == 990 + 10 * (1 + 99)

@@ -10,10 +10,15 @@
    key; equal keys are exactly the pairs within that chunk distance.
 3. The smallest node of a key's bucket is its centre, and all nodes that share
    a centre form a group; any two nodes with an equal key share a group.
-   Groups are split into tiles of bounded size, pairs of tiles meet in one
-   task, and there all pairs are confirmed on the full sets by matrix products.
-   A tile returns only a spanning forest of its links.
-4. Connected components over these links give the result.
+   Groups are split into tiles of bounded size.  All pairs of a tile, and of
+   its nodes with the centre, are confirmed on the full sets by matrix
+   products.  A tile returns only a spanning forest of its links.
+4. Connected components over these links.  Pairs of one component need no
+   further look, so in a group of several tiles only the nodes that are not in
+   the centre's component still meet the other tiles.  Work and copies of sets
+   are in proportion to the group, unless many of its nodes are unlike its
+   centre.
+5. Connected components over all links give the result.
 
 A link with similarity 0.75 has the guaranteed distance with probability
 0.994, and equals some key, which is all that step 3 needs, with probability
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -210,6 +215,42 @@ def _confirmed(per_cent: int):
     return run
 
 
+def _tiles() -> Column:
+    """How many tiles the rows of a group take."""
+    return F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+
+
+def _tile_of(tiles: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(tiles)).cast("int")
+
+
+def _own_tiles(near: DataFrame, extent: DataFrame) -> DataFrame:
+    """(centre, i, j, side, node): every node in one tile of each of its groups, the centre in all of them."""
+    placed = near.join(extent, "centre")
+    tile = F.when(F.col("node") == F.col("centre"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(_tile_of("tiles")))
+    return placed.select("centre", F.explode(tile).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node")
+
+
+def _apart(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """(centre, node, n, free): whether a node is in another component than the centre of its group."""
+    own = labels.select(F.col("id").alias("node"), F.col("label").alias("own"))
+    its = labels.select(F.col("id").alias("centre"), F.col("label").alias("its"))
+    free = F.coalesce("own", "node") != F.coalesce("its", "centre")
+    return near.join(own, "node", "left").join(its, "centre", "left").select("centre", "node", "n", free.alias("free"))
+
+
+def _other_tiles(apart: DataFrame) -> DataFrame:
+    """(centre, i, j, side, node): tiles of free nodes, each to meet itself (j = i), later ones and all tiles of linked nodes (j from `frees` on)."""
+    counts = checkpointed(apart.groupBy("centre", "free").agg(_tiles().alias("tiles")))
+    frees = counts.where("free").select("centre", F.col("tiles").alias("frees"))
+    linked = counts.where("not free").select("centre", F.col("tiles").alias("linked"))
+    placed = apart.join(frees, "centre").join(linked, "centre", "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
+    placed = placed.withColumn("tile", F.when(F.col("free"), _tile_of("frees")).otherwise(F.col("frees") + F.pmod(F.xxhash64("node"), F.greatest("linked", F.lit(1))).cast("int")))
+    upto = F.when(F.col("free"), F.col("frees") + F.col("linked")).otherwise(F.col("frees"))
+    placed = placed.select("centre", "node", "tile", F.explode(F.sequence(F.lit(0), upto - 1)).alias("other"))
+    return placed.select("centre", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, per_cent: int = 75) -> DataFrame:
     """Groups of texts linked by 100 * |A & B| >= per_cent * |A | B| over sets of `size`-word shingles.
 
@@ -235,25 +276,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = nodes.select("node", "signature").mapInArrow(_keyed, "key long, id long")
     buckets = checkpointed(keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").select("key", "centre"))
     near = keys.join(buckets, "key").select("centre", F.col("id").alias("node")).distinct()
-    near = checkpointed(near.join(nodes.select("node", "n"), "node"))
-
-    extent = near.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    extent = checkpointed(extent)
-    placed = near.join(extent, "centre").select("centre", "node", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    placed = placed.select("centre", "node", "tile", other).select(
-        "centre", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node"
-    )
-
-    wanted = near.select(F.col("node").alias("id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_with_sets(size), "node long, shingles binary")
-    tiles = placed.join(sets, "node").select("centre", "i", "j", "side", "node", "shingles")
-    tiles = tiles.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side", "node")
-    links = tiles.mapInArrow(_confirmed(per_cent), "a long, b long")
-
-    labels = connected_components(links)
+    near = checkpointed(near.join(nodes.select("node", "n"), "node").select("centre", "node", "n"))
+
+    def links(placed: DataFrame, of: DataFrame) -> DataFrame:
+        wanted = of.select(F.col("node").alias("id")).distinct()
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+        sets = texts.join(wanted, "id", "left_semi").mapInArrow(_with_sets(size), "node long, shingles binary")
+        tiles = placed.join(sets, "node").select("centre", "i", "j", "side", "node", "shingles")
+        tiles = tiles.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side", "node")
+        return tiles.mapInArrow(_confirmed(per_cent), "a long, b long")
+
+    extent = checkpointed(near.groupBy("centre").agg(_tiles().alias("tiles")))
+    labels = checkpointed(connected_components(links(_own_tiles(near, extent), near)))
+    many = near.join(extent.where("tiles > 1").select("centre"), "centre", "left_semi")
+    if not many.isEmpty():
+        apart = checkpointed(_apart(many, labels))
+        if not apart.where("free").isEmpty():
+            apart = apart.join(apart.where("free").select("centre").distinct(), "centre", "left_semi")
+            more = links(_other_tiles(apart), apart)
+            labels = connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = nodes.select("digest", "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
     named = checkpointed(named.select("digest", F.coalesce("label", "node").alias("component")))
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

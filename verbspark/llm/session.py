@@ -4,29 +4,71 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[str | None] = ContextVar("_scope", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests on one machine, a folder of
-    this machine is taken.
+    Only where the setting is absent and all executors are threads of this
+    process, as in tests, a folder of this machine is taken; elsewhere its
+    absence is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, computed once and written as a table in the shared folder.
+
+    Unlike a checkpoint a written table has the size that it has, so that plans
+    over many such steps keep true estimates.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{_scope.get() or f'steps-{spark.sparkContext.applicationId}'}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes tables that checkpointed() wrote, once nothing reads them any more."""
+    for df in steps:
+        path = getattr(df, "_written", None)
+        if path:
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that checkpointed() wrote inside; results must have been written by then."""
+    name = f"steps-{uuid.uuid4().hex}"
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete(spark, f"{shared_folder(spark)}/{name}")
 
 
 def importable(spark: SparkSession) -> None:

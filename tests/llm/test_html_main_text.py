@@ -86,3 +86,55 @@ def test_rotating_blocks_of_a_large_host(spark, monkeypatch, broadcast):
     assert [got[i] for i in range(600)] == [f"story {i}" for i in range(600)]
     assert [got[1000 + i] for i in range(600)] == [f"told {i % 60}\n\nitem {i % 60}\n\nown {i}" for i in range(600)]
     assert [got[2000 + i] for i in range(4)] == [f"on four pages\n\nx{i}" for i in range(4)]
+
+
+def side_parts(host, n):
+    """Pages without an article element whose side parts have new text on every page."""
+    page = "<body><div class=top>Site name</div><div class=text><p>story {i}</p></div><div class=related-links>see {i}</div><section id=comments><p>said {i}</p></section></body>"
+    return [(i, f"http://{host}/{i}", page.format(i=f"{host} {i}")) for i in range(n)]
+
+
+def test_templates_decide(spark, monkeypatch):
+    rows = side_parts("a.example", 6) + [(100 + i, u, h) for i, u, h in side_parts("b.example", 1)]
+    rows.append((200, "http://a.example/x", "<body><p>x</p><div class=related-work>named on this page alone</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert [got[i] for i in range(6)] == [f"story a.example {i}" for i in range(6)]
+    assert got[100] == "Site name\n\nstory b.example 0" and got[200] == "x\n\nnamed on this page alone"
+
+    none = lambda parsed, *_: parsed.select("host", H.F.lit(H.PAGE_FRAME).alias("hash"), H.F.lit(False).alias("often")).distinct()
+    monkeypatch.setattr(H, "site_templates", none)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert [got[i] for i in range(6)] == [f"Site name\n\nstory a.example {i}\n\nsee a.example {i}\n\nsaid a.example {i}" for i in range(6)]
+
+
+def test_names_are_not_needed_where_templates_are(spark, monkeypatch):
+    """Without the list of names, all pages of the table and the rotating blocks of a host keep their texts."""
+    monkeypatch.setattr(H, "_MARKS", frozenset())
+    monkeypatch.setattr(H, "_HEADER_MARKS", frozenset())
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    assert all(H.Page(source or "").text(frozenset()) == plain(source) for _, source in pages)
+
+
+def test_brute_force_of_the_counts(spark):
+    """Templates of the whole table by plain counting."""
+    df = spark.read.parquet(f"{DATA}/pages.parquet")
+    pages = {}
+    for r in df.collect():
+        found = H.Page(r.html or "").parts()
+        pages.setdefault(re.match(r"https?://([^/:?#]*)", r.url)[1].lower(), {})[found.digest] = found.all_hashes()
+    expected = {}
+    for host, own in pages.items():
+        for h in {h for hashes in own.values() for h in hashes}:
+            n = sum(h in hashes for hashes in own.values())
+            if n >= (2 if h & 1 else 5):
+                expected[host, h] = n >= 0.2 * len(own)
+    seen = {}
+    original = H.site_templates
+    try:
+        H.site_templates = lambda *a: seen.setdefault("table", original(*a))
+        H.extract(df)
+    finally:
+        H.site_templates = original
+    assert {(r["host"], r["hash"]): r["often"] for r in seen["table"].collect()} == expected
+    assert sum(1 for _, h in expected if not h & 1) > 10

@@ -8,9 +8,18 @@ notices and boxes take turns, and a host may have several layouts.  Prose inside
 an article (paragraphs, headings, quotations, preformatted text) is never taken
 for a template, since articles of a site do repeat passages; items of lists and
 cells of tables inside an article are one only if they also occur in a large
-share of the host's pages.  Parts that HTML itself marks as no
-article (menus, forms, scripts, comments of readers and the like) are deleted
-on every page, also where a host has one page only.
+share of the host's pages.
+
+Parts whose text is new on every page, such as readers' comments, related links
+or an advert, recur by their frame alone: the tag, class and id of an element
+that is named like such a part.  Such frames are hashed and counted too, and
+deleted where the host repeats them.  A host of a single page repeats nothing,
+so there the name decides.  Parts that HTML itself marks as no article (menus,
+forms, scripts and the like) are deleted on every page.
+
+A page is parsed once.  What is left of it, its text in pieces with the hashes
+that each piece hangs on, is written as a table, counted, and read again to be
+put together.
 """
 
 from __future__ import annotations
@@ -27,6 +36,8 @@ from pyspark.sql import functions as F
 
 from .session import checkpointed
 
+#: Pages of a host that repeat a frame: the first repetition tells.
+FRAME_PAGES = 2
 #: A subtree is a template if it occurs in so many different pages of its host; for parts of an article's lists and tables, also in this share of them.
 MIN_PAGES, SHARE = 5, 0.2
 #: Up to so many template hashes (9 bytes each) are sent to all executors; more are joined by a shuffle.
@@ -49,7 +60,7 @@ _PARTS = frozenset("caption dd dt figcaption li tbody td tfoot th thead tr".spli
 _NO_TEXT = frozenset("head script style noscript template svg math iframe object embed canvas audio video map title noembed noframes form fieldset button select textarea input label dialog menu nav aside footer search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 
-#: Words in a class or id that mark what is no part of an article.
+#: Words in a class or id that name parts of a page beside its article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
     "cookie cookies consent gdpr notice notices notification disclaimer newsletter subscribe subscription signup login popup modal overlay social share sharing related recommended recommendations "
@@ -68,7 +79,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.marks, self.parents = ["html"], [""], [-1]
-        self.noise, self.article, self.inside = [False], [False], [False]
+        self.noise, self.named, self.article, self.inside = [False], [False], [False], [False]
         self.content: list[list] = [[]]  # for each element its texts and the numbers of its children
         self._read(source)
 
@@ -81,12 +92,13 @@ class Page:
         role = found.get("role", "").lower()
         main = tag in ("article", "main") or role in ("article", "main") or found.get("itemprop", "") == "articleBody"
         hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-        header = not inside and (tag == "header" or not _HEADER_MARKS.isdisjoint(words))
-        noise = tag in _NO_TEXT or role in _ROLES or bool(hidden) or header or not _MARKS.isdisjoint(words)
+        noise = tag in _NO_TEXT or role in _ROLES or bool(hidden) or (tag == "header" and not inside)
+        named = not _MARKS.isdisjoint(words) or (not inside and not _HEADER_MARKS.isdisjoint(words))
         self.tags.append(tag)
         self.marks.append(mark)
         self.parents.append(parent)
         self.noise.append(noise and not main)
+        self.named.append(named and not noise and not main)
         self.article.append(main)
         self.inside.append(inside)
         self.content.append([])
@@ -140,7 +152,7 @@ class Page:
                     del stack[depth:]
 
     def hashes(self) -> list[int]:
-        """A 64-bit hash of each element's subtree."""
+        """A hash of each element's subtree, even, of 63 bits."""
         out = [0] * len(self.tags)
         for number in range(len(self.tags) - 1, -1, -1):
             h = blake2b(f"{self.tags[number]}\0{self.marks[number]}".encode(), digest_size=8)
@@ -148,7 +160,7 @@ class Page:
                 text = b"\2%d" % out[x] if isinstance(x, int) else b"\1" + " ".join(x.split()).encode("utf-8", "replace")
                 if text != b"\1":
                     h.update(text)
-            out[number] = int.from_bytes(h.digest(), "little", signed=True)
+            out[number] = int.from_bytes(h.digest(), "little", signed=True) & ~1
         return out
 
     def countable(self) -> list[int]:
@@ -164,69 +176,148 @@ class Page:
                 out[self.parents[number]] = True
         return out
 
-    def text(self, template: set[int] | frozenset[int], often: set[int] | frozenset[int] | None = None) -> str:
-        """The blocks of the article, without its dropped parts and without template subtrees.
-
-        Parts of an article's lists and tables are looked up in `often`, all
-        else in `template`; without `often`, they are looked up there as well.
-        """
-        often = template if often is None else often
-        hashes = self.hashes() if template else []
-        countable = set(self.countable()) if template else ()
-        holds = self._holding()
-        dropped = [False] * len(self.tags)
-        articles = False
+    def parts(self) -> Parts:
+        """The page's text in pieces, with the hashes that each hangs on."""
+        hashes, holds = self.hashes(), self._holding()
+        countable = set(self.countable())
+        out = Parts(hashes[0])
+        hangs = [-1] * len(self.tags)  # for each element the last of its conditions; -2 for what is dropped on every page
         for n in range(1, len(self.tags)):
             parent = self.parents[n]
-            own = self.noise[n] and not (holds[n] and not self.inside[n] and self.tags[n] not in ("nav", "aside", "footer"))
-            part = self.inside[n] and self.tags[n] in _PARTS
-            dropped[n] = dropped[parent] or own or (n in countable and hashes[n] in (often if part else template))
-            articles = articles or (self.article[n] and not dropped[n])
-        blocks: list[str] = []
-        line: list[str] = []
-
-        def end() -> None:
-            text = " ".join(html.unescape("".join(line)).split())
-            if text:
-                blocks.append(text)
-            line.clear()
-
+            exempt = holds[n] and not self.inside[n] and self.tags[n] not in ("nav", "aside", "footer")
+            hangs[n] = -2 if self.noise[n] and not exempt else hangs[parent]
+            if hangs[n] == -2:
+                pass
+            elif self.named[n] and not exempt:
+                hangs[n] = out.hang(hangs[n], _frame(self.tags[n], self.marks[n]), FRAME)
+            if n in countable:
+                out.counted.append(hashes[n])
+                if hangs[n] != -2:
+                    hangs[n] = out.hang(hangs[n], hashes[n], PART if self.inside[n] and self.tags[n] in _PARTS else SUBTREE)
+            if self.article[n] and hangs[n] != -2:
+                out.articles.append(hangs[n])
+        block = 0
         todo: list[tuple[int, int]] = [(0, 0)]
         while todo:
             number, k = todo.pop()
             content = self.content[number]
             if k == len(content):
-                if self.tags[number] in _BLOCK:
-                    end()
+                block += self.tags[number] in _BLOCK
                 continue
             todo.append((number, k + 1))
             x = content[k]
             if not isinstance(x, int):
-                if not articles or self.article[number] or self.inside[number]:
-                    line.append(x)
+                out.add(block, hangs[number], self.article[number] or self.inside[number], html.unescape(x))
             elif self.tags[x] in ("br", "wbr"):
-                line.append(" " if self.tags[x] == "br" else "")
+                out.add(block, hangs[number], self.article[number] or self.inside[number], " " if self.tags[x] == "br" else "")
             else:
-                if self.tags[x] in _BLOCK:
-                    end()
-                if not dropped[x]:
+                block += self.tags[x] in _BLOCK
+                if hangs[x] != -2:
                     todo.append((x, 0))
-        end()
-        return "\n\n".join(blocks)
+        if -1 in out.articles:  # nothing beside the article is ever read
+            out.keep_inside()
+        return out
+
+    def text(self, template: set[int] | frozenset[int], often: set[int] | frozenset[int] | None = None) -> str:
+        """The page's text without its dropped parts, without template subtrees and without repeated frames.
+
+        Parts of an article's lists and tables are looked up in `often`, all
+        else in `template`; without `often`, they are looked up there as well.
+        """
+        return self.parts().text(template, template if often is None else often)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) becomes (host, digest of the page, hashes that may be templates)."""
+def _frame(tag: str, mark: str) -> int:
+    """The hash of an element's frame: odd, as those of subtrees are even."""
+    return int.from_bytes(blake2b(f"{tag}\0{mark}\0frame".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) | 1
+
+
+#: The frame that every page has: it is repeated on hosts of several pages.
+PAGE_FRAME = _frame("", "")
+#: What a condition is: a subtree, a part of a list or table inside an article, a frame.
+SUBTREE, PART, FRAME = 0, 1, 2
+
+
+class Parts:
+    """A parsed page: conditions as a tree, and pieces of text that hang on them."""
+
+    def __init__(self, digest: int):
+        self.digest = digest
+        self.counted: list[int] = []
+        self.parents: list[int] = []
+        self.hashes: list[int] = []
+        self.kinds: list[int] = []
+        self.articles: list[int] = []  # the condition of each article element
+        self.blocks: list[int] = []
+        self.hangs: list[int] = []
+        self.inside: list[bool] = []
+        self.texts: list[str] = []
+
+    def hang(self, parent: int, value: int, kind: int) -> int:
+        self.parents.append(parent)
+        self.hashes.append(value)
+        self.kinds.append(kind)
+        return len(self.hashes) - 1
+
+    def add(self, block: int, hangs: int, inside: bool, text: str) -> None:
+        if self.blocks and (self.blocks[-1], self.hangs[-1], self.inside[-1]) == (block, hangs, inside):
+            self.texts[-1] += text
+        elif text and (not text.isspace() or (self.blocks and self.blocks[-1] == block)):  # a block never begins with white space
+            self.blocks.append(block)
+            self.hangs.append(hangs)
+            self.inside.append(inside)
+            self.texts.append(text)
+
+    def keep_inside(self) -> None:
+        for name in ("blocks", "hangs", "texts"):
+            setattr(self, name, [x for x, inside in zip(getattr(self, name), self.inside) if inside])
+        self.inside = [True] * len(self.blocks)
+
+    def all_hashes(self) -> list[int]:
+        """Subtrees and frames of the page, each once."""
+        return sorted({*self.counted, *(h for h, k in zip(self.hashes, self.kinds) if k == FRAME), PAGE_FRAME})
+
+    def text(self, template: set[int] | frozenset[int], often: set[int] | frozenset[int]) -> str:
+        alone = PAGE_FRAME not in template
+        dropped = [False] * (len(self.hashes) + 1)  # the last stands for no condition
+        for n, (parent, value, kind) in enumerate(zip(self.parents, self.hashes, self.kinds)):
+            dropped[n] = dropped[parent] or value in (often if kind == PART else template) or (kind == FRAME and alone)
+        articles = not all(dropped[n] for n in self.articles)
+        blocks: dict[int, list[str]] = {}
+        for block, n, inside, text in zip(self.blocks, self.hangs, self.inside, self.texts):
+            if not dropped[n] and (inside or not articles):
+                blocks.setdefault(block, []).append(text)
+        texts = (" ".join("".join(own).split()) for own in blocks.values())
+        return "\n\n".join(t for t in texts if t)
+
+
+_PARTS_KINDS = {
+    "page": pa.int64(), "counted": pa.list_(pa.int64()), "parents": pa.list_(pa.int32()), "hashes": pa.list_(pa.int64()), "kinds": pa.list_(pa.int8()), "articles": pa.list_(pa.int32()),
+    "blocks": pa.list_(pa.int32()), "hangs": pa.list_(pa.int32()), "inside": pa.list_(pa.bool_()), "texts": pa.list_(pa.string()),
+}
+_PARTS_TYPES = "page long, counted array<long>, parents array<int>, hashes array<long>, kinds array<tinyint>, articles array<int>, blocks array<int>, hangs array<int>, inside array<boolean>, texts array<string>"
+_PIECES = list(_PARTS_KINDS)[2:]
+
+
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some megabytes of text each."""
+    at = 0
+    while at < b.num_rows:
+        n = 64
+        while n > 1 and b.column(column).slice(at, n).nbytes > 16 << 20:
+            n //= 2
+        yield b.slice(at, n)
+        at += n
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, url, host, html) becomes (id, url, host) and the page's parts."""
     for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            digests, found = [], []
-            for source in part.column(1).to_pylist():
-                page = Page(source)
-                hashes = page.hashes()
-                digests.append(hashes[0])
-                found.append(sorted({hashes[n] for n in page.countable()}))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
+        for some in _slices(b, 3):
+            pages = [Page(source).parts() for source in some.column(3).to_pylist()]
+            columns = [[p.digest for p in pages], [p.all_hashes() for p in pages], *([getattr(p, name) for p in pages] for name in _PIECES)]
+            columns = [pa.array(c, kind) for c, kind in zip(columns, _PARTS_KINDS.values())]
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], *columns], names=["id", "url", "host", *_PARTS_KINDS])
 
 
 class Templates:
@@ -251,41 +342,34 @@ class Templates:
         return own[known].tolist(), own[known & self._often[at]].tolist()
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, url, html, host) with the digest of the page."""
+def _put_together(batches: Iterator[pa.RecordBatch], known: Templates | None) -> Iterator[pa.RecordBatch]:
+    """(id, url, host, own hashes, pieces), or with templates already joined (id, url, template, often, pieces), becomes (id, url, text)."""
     for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            digests = [Page(source).hashes()[0] for source in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.int64())], names=["id", "url", "html", "host", "page"])
+        for some in _slices(b, b.num_columns - 1):
+            texts = []
+            for first, second, *pieces in zip(*(some.column(i).to_pylist() for i in range(2, some.num_columns))):
+                template, often = known.of(first, second) if known else (first, second)
+                page = Parts(0)
+                for name, value in zip(_PIECES, pieces):
+                    setattr(page, name, value)
+                texts.append(page.text(frozenset(template or ()), frozenset(often or ())))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
-def _extracted(batches: Iterator[pa.RecordBatch], known: Templates | None) -> Iterator[pa.RecordBatch]:
-    """(id, url, html, host), or with templates already joined (id, url, html, template, often), becomes (id, url, text)."""
-    for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            pages = [Page(source) for source in part.column(2).to_pylist()]
-            if known:
-                found = [known.of(host, page.hashes()) for page, host in zip(pages, part.column(3).to_pylist())]
-            else:
-                found = list(zip(part.column(3).to_pylist(), part.column(4).to_pylist()))
-            texts = [page.text(frozenset(template or ()), frozenset(often or ())) for page, (template, often) in zip(pages, found)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
-
+def site_templates(parsed: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """(host, hash, often): the templates and repeated frames of each host, and whether they occur in that share of its pages.
 
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """(host, page, hashes): the different pages of each host with the hashes that may be templates; `pages` has host and html."""
-    described = pages.mapInArrow(_described, "host string, page long, hashes array<long>")
-    return checkpointed(described.groupBy("host", "page").agg(F.first("hashes").alias("hashes")))
-
-
-def site_templates(distinct: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hash, often): the template subtrees of each host, and whether they occur in that share of its pages."""
-    totals = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counts = checkpointed(counts.where(F.col("n") >= min_pages))
-    return checkpointed(counts.join(totals, "host").select("host", "hash", (F.col("n") >= F.col("pages") * share).alias("often")))
+    `parsed` has host, page (a digest; copies count once) and counted (hashes).
+    """
+    distinct = parsed.groupBy("host", "page").agg(F.first("counted").alias("counted"))
+    counts = distinct.select("host", F.explode("counted").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    frame = F.col("hash").bitwiseAND(1) == 1
+    counts = checkpointed(counts.where(F.col("n") >= F.when(frame, FRAME_PAGES).otherwise(min_pages)))
+    totals = counts.where(F.col("hash") == PAGE_FRAME).select("host", F.col("n").alias("pages"))
+    if totals.count() <= BROADCAST_HASHES:
+        totals = F.broadcast(totals)
+    often = F.col("n") >= F.coalesce("pages", F.lit(1)) * share
+    return checkpointed(counts.join(totals, "host", "left").select("host", "hash", often.alias("often")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
@@ -294,7 +378,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     The text is the article's blocks, joined by an empty line; white space
     inside a block is one space, character references are decoded.  A page
     without an article or main element is read as a whole, without its dropped
-    parts.
+    parts.  Dropped are template subtrees, repeated frames of elements named
+    like side parts (on a host of one page, all such elements) and what HTML
+    marks as no article.
 
     A null or empty page has the empty text.  Pages whose address is null or
     has no host count as one host.  Repeated rows each get their text.  Pages
@@ -302,17 +388,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    distinct = distinct_pages(rows.select("host", "html"))
-    templates = site_templates(distinct, min_pages, share)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
+    parsed = checkpointed(rows.mapInArrow(_parsed, f"id {kind}, url string, host string, {_PARTS_TYPES}"))
+    templates = site_templates(parsed.select("host", "page", "counted"), min_pages, share)
     if templates.count() <= BROADCAST_HASHES:
         held = templates.toArrow()
         shared = pages.sparkSession.sparkContext.broadcast(Templates(held.column("host"), held.column("hash").to_numpy(), held.column("often").to_numpy()))
-        out = rows.mapInArrow(lambda batches: _extracted(batches, shared.value), f"id {kind}, url string, text string")
+        own = parsed.select("id", "url", "host", "counted", *_PIECES)
+        out = own.mapInArrow(lambda batches: _put_together(batches, shared.value), f"id {kind}, url string, text string")
     else:
-        own = distinct.select("host", "page", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"])
+        own = parsed.select("host", "page", F.explode("counted").alias("hash")).distinct().join(templates, ["host", "hash"])
         own = own.groupBy("host", "page").agg(F.collect_list("hash").alias("template"), F.collect_list(F.when(F.col("often"), F.col("hash"))).alias("often"))
-        joined = rows.mapInArrow(_digested, f"id {kind}, url string, html string, host string, page long").join(own, ["host", "page"], "left")
-        out = joined.select("id", "url", "html", "template", "often").mapInArrow(lambda batches: _extracted(batches, None), f"id {kind}, url string, text string")
+        joined = parsed.join(own, ["host", "page"], "left").select("id", "url", "template", "often", *_PIECES)
+        out = joined.mapInArrow(lambda batches: _put_together(batches, None), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

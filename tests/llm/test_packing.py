@@ -19,7 +19,6 @@ DATA = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -32,7 +31,7 @@ def encoded(texts):
     return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-ODD = ["", "it's I'll we're 'tis ''s 's's x'mm 'll'd' 've'", " \n\n a  b\t\tc \n", "  ", "\n's 's", "don't'", "12ab3.5 ½ ²x", "<|endoftext|> hi", "é́ ñ\xa0 b\xa0\xa0c\u0085d", "日本語 's x", "🙂 ok 🙂", "'", "tab\x1c\x1dx", "a_b __ 'reX 'Re", "Ԁ Ԁa ӿ", "word 's " * 400000, "y" * 3000000]
+ODD = ["", "it's I'll we're 'tis ''s 's's x'mm 'll'd' 've'", " \n\n a  b\t\tc \n", "  ", "\n's 's", "don't'", "12ab3.5 ½ ²x", "<|endoftext|> hi", "a<|endoftext|>b <|endoftext|> <|endoftext|><|endoftext|>'s", "<|endoftext|", "<|endoftext|>", "é<|endoftext|>" * 3000, "z " * 1200000 + "<|endoftext|> z", "é́ ñ\xa0 b\xa0\xa0c\u0085d", "日本語 's x", "🙂 ok 🙂", "'", "tab\x1c\x1dx", "a_b __ 'reX 'Re", "Ԁ Ԁa ӿ", "word 's " * 400000, "y" * 3000000]
 
 
 def test_ids_are_the_librarys(library):
@@ -41,11 +40,16 @@ def test_ids_are_the_librarys(library):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["'", "s", "t", "re", "ll", " ", "\n", "\t", "a", "Ab", "é", "1", "½", "-", "\xa0", "'d", "_", "\x1c", "\x85", "'ve", "日"]), max_size=20).map("".join), max_size=6))
+@given(st.lists(st.lists(st.sampled_from(["'", "s", "t", "re", "ll", " ", "\n", "\t", "a", "Ab", "é", "1", "½", "-", "\xa0", "'d", "_", "\x1c", "\x85", "'ve", "日", "<|endoftext|>"]), max_size=20).map("".join), max_size=6))
 def test_random_ids_are_the_librarys(library, texts):
     assert encoded(texts) == library(texts)
 
 
+def test_other_kinds_of_files_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        byte_bpe.ByteBpe(tokenizer_path("word_bpe_49k.json"))
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "_REMEMBERED", 5)
     texts = [f"w{k} x{k} y{k % 3}" for k in range(50)]
@@ -89,7 +93,7 @@ def test_query_is_an_exact_round_trip(spark, library):
 def test_edge_cases_and_small_blocks(spark, library, monkeypatch):
     monkeypatch.setattr(P, "BLOCK_PIECES", 7)
     rng = random.Random(1)
-    texts = {i: " ".join(rng.choice(("alpha", "béta", "42", "...")) for _ in range(rng.randint(0, 900))) for i in range(40)} | {40: None, 41: "", 42: "a b " * 20000}
+    texts = {i: " ".join(rng.choice(("alpha", "béta", "42", "...")) for _ in range(rng.randint(0, 900))) for i in range(40)} | {40: None, 41: "", 42: "a b " * 20000, 43: "one<|endoftext|> two"}
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()], "doc_id long, text string, start int, ids string").repartition(3)
     assert checked(P.pack(df, tokenizer_path()).collect(), texts, library) == 0
     repeated = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string")

@@ -50,7 +50,6 @@ def test_stages(tables):
         assert base_spans(old[i][1] or "") == [] or r != old[i]
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     total = sum(len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in new.values())
     assert packed.agg(F.sum("length")).first()[0] == total
 

@@ -4,8 +4,9 @@ The vocabulary is read from the tokenizer's JSON file and applied by the
 tiktoken library, which gives the same ids as the tokenizers library for this
 kind of file (tests compare them).  Texts are cut into pre-tokens with numpy,
 and each distinct pre-token is encoded once and remembered, because encoding
-is by far the dearest step.  Special-token strings inside a text are ordinary
-text.
+is by far the dearest step.  As in the library's default call, the strings of
+the file's added tokens are cut out of a text first and become their ids.
+Files with settings that this reading would not honour are refused.
 """
 
 from __future__ import annotations
@@ -122,23 +123,57 @@ class ByteBpe:
         symbols = _byte_of_symbol()
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {t["content"] for t in model.get("added_tokens", ())}
+        self._check(model)
+        added = {t["content"]: t["id"] for t in model.get("added_tokens") or ()}
+        self._added = {text.encode(): number for text, number in added.items()}
+        self._cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + b")") if added else None
         vocabulary = model["model"]["vocab"]
-        ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if token not in added}
         self._bpe = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._forget()
 
+    @staticmethod
+    def _check(model: dict) -> None:
+        """Refuses files that are no plain byte-level BPE."""
+        splitter, bpe = model.get("pre_tokenizer") or {}, model["model"]
+        plain = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True)
+        plain = plain and model.get("normalizer") is None and bpe.get("type", "BPE") == "BPE"
+        plain = plain and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain = plain and not any(t.get(k) for t in model.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not plain:
+            raise ValueError("not a plain byte-level BPE file")
+
     def _forget(self) -> None:
         self._slots: dict[int, int] = {}
         self._ids, self._ends = array("I"), array("q", [0])
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of one text, by the library alone."""
+        """Ids of one text without added tokens, by the library alone."""
         return np.array(self._bpe.encode_ordinary(text), dtype=np.uint32)
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the offsets of each text's ids; a null text is empty."""
         data, offsets = text_buffer(column)
+        if self._cut and self._cut.search(raw := data.tobytes()):
+            return self._encode_cut([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+        return self._encode_ordinary(data, offsets)
+
+    def _encode_cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut at added tokens, and what is between them is encoded as texts of their own."""
+        cut = [self._cut.split(t) for t in texts]  # ordinary, added, ordinary, ...
+        flat, bounds = self._encode_ordinary(*text_buffer(pa.array([x for own in cut for x in own[::2]], pa.large_binary())))
+        ids, counts, at = [], [], 0
+        for own in cut:
+            n = 0
+            for k, x in enumerate(own):
+                got = np.array([self._added[x]], dtype=np.uint32) if k % 2 else flat[bounds[at] : bounds[at + 1]]
+                at += k % 2 == 0
+                n += len(got)
+                ids.append(got)
+            counts.append(n)
+        return np.concatenate(ids) if ids else flat, np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+    def _encode_ordinary(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids: list[np.ndarray] = []
         counts = np.zeros(len(offsets) - 1, dtype=np.int64)
         i = 0
@@ -170,7 +205,7 @@ class ByteBpe:
             if len(piece) > 2 * _PART_BYTES:  # no place to cut
                 out.append(self.encode(text[begin:end]))
             else:
-                out.append(self.encode_column(pa.array([piece], pa.large_binary()))[0])
+                out.append(self._encode_ordinary(*text_buffer(pa.array([piece], pa.large_binary())))[0])
             begin = end
         return np.concatenate(out)
 

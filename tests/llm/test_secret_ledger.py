@@ -106,3 +106,32 @@ def test_added_rules_span_the_whole_secret():
     for user, password in (("oauth2", "x" * 200), ("", "longpassword"), ("u" * 100, "secret1")):
         assert whole(f"https://{user}:{password}@host/x", "url_password") == [f"://{user}:{password}@"]
     assert whole("http://host:8080/a@b http://user:12345@h", "url_password") == []
+
+
+@pytest.mark.parametrize("limit", [0, 3, 200_000])
+def test_copies_are_scanned_at_one_place(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "BROADCAST_BLOBS", limit)
+    rows = [(i, f"token=abcdef{i % 7}") for i in range(40)] + [(100 + i, f"single {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = S.scan(df)
+    assert found.entries.count() == len(S.RULES) * (7 + 20)  # no pair of a blob and a rule twice
+    assert {r.doc_id: len(r.spans) for r in found.findings.collect()} == {i: int("token" in t) for i, t in rows}
+
+
+def test_a_table_that_is_no_ledger_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/other")
+    with pytest.raises(Exception, match="blob"):
+        S.scan_with_ledger(spark, df, f"{tmp_path}/other")
+
+
+def test_the_query_goes_through_a_ledger(spark, monkeypatch, tmp_path):
+    from verbspark.llm import queries
+
+    monkeypatch.setattr(queries, "shared_folder", lambda _: str(tmp_path))
+    rows = QUERIES["op5_secret_ledger"](spark, DATA).count()
+    (path,) = tmp_path.glob("secret-ledger-*")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    ledger = spark.read.parquet(str(path))
+    assert rows == docs.count()
+    assert ledger.count() == ledger.select("blob", "rule").distinct().count() == len(S.RULES) * docs.select(F.coalesce("text", F.lit(""))).distinct().count()

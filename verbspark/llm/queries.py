@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from importlib import import_module
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import importable
+from .session import importable, shared_folder
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -118,9 +119,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secret_ledger import BASE_RULES, scan
+    from .secret_ledger import BASE_RULES, scan_with_ledger
 
-    found = scan(table(spark, sf_dir, "documents")).findings
+    # A ledger of its own, so that every run of the query scans every blob once.
+    found = scan_with_ledger(spark, table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secret-ledger-{uuid4().hex}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     kinds = [r.kind for r in BASE_RULES]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
@@ -129,6 +131,46 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+_ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))
+#: Each rule's kind, its pattern and a condition on what matched.
+_SQL_RULES = (
+    ("assign", rf"""({_ANY_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda p: f"length(regexp_extract(piece, '{p}', 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", lambda p: "length(piece) >= 20"),
+    ("hex", "[0-9a-f]+", lambda p: "length(piece) >= 24"),
+    ("pem", r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----|(?:[ \t\r]*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*[A-Za-z0-9+/=\x09-\x0D\x20]*)", lambda p: "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", lambda p: "true"),
+    ("hosting", "gh[pousr]_[A-Za-z0-9]{36,}", lambda p: "true"),
+    ("url_password", r"://[^\x00-\x20/:@]*:[^\x00-\x20/@]{6,}@", lambda p: "true"),
+)
+
+
+def _sql_matches(rank: int, kind: str, pattern: str, accept: Callable[[str], str]) -> str:
+    """Every second piece between marks that are put around matches is a match."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT r, {rank} AS rank, '{kind}' AS kind, upto - length(piece) AS start, upto AS "end" FROM (
+    SELECT *, sum(length(piece)) OVER (PARTITION BY r ORDER BY i) AS upto FROM (
+      SELECT r, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT r, string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS pieces FROM d)
+    )
+  ) WHERE i % 2 = 0 AND {accept(pattern)}"""
+
+
+_SPAN = "kind || ':' || CAST(start AS BIGINT) || ':' || CAST(\"end\" AS BIGINT)"
+
+OP5_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents
+), m AS ({" UNION ALL".join(_sql_matches(i, *rule) for i, rule in enumerate(_SQL_RULES))}
+), s AS (
+  SELECT r, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+    string_agg({_SPAN}, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg({_SPAN}, ',' ORDER BY start, rank) AS spans
+  FROM m GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (r)
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_windows
 
@@ -211,4 +253,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_exact_topk": OP4_SQL, "op6_decontamination": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_exact_topk": OP4_SQL, "op5_secret_ledger": OP5_SQL, "op6_decontamination": OP6_SQL}

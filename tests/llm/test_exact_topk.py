@@ -61,3 +61,24 @@ def test_large_components_take_part(spark):
     big, limit = 1024 * 10**13, 2**63
     assert got[:4] == [(0, 1, 2, 2 * big), (0, 2, 1, big), (0, 3, 3, -limit), (0, 4, 4, -limit)]
     assert got[4:] == [(1, 1, 0, big), (1, 2, 2, 2 + 1024**2), (1, 3, 3, -big), (1, 4, 4, -limit + 1024**2)]
+
+
+def test_many_waves_write_their_lists(spark, monkeypatch):
+    """Fifty waves and more: shards are packed once and no plan holds all waves."""
+    monkeypatch.setattr(K, "WAVE_ROWS", 8)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 4)
+    packed = []
+    monkeypatch.setattr(K, "checkpointed", lambda df, real=K.checkpointed: packed.append(df) or real(df))
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(4)]) for i in range(220)]
+    q = K.quantised(spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3), "v", 1024)
+    found = K.top_k(q, q, "vec_id", "v", 3)
+    assert len(packed) == 2 and len(found._jdf.queryExecution().analyzed().toString().splitlines()) < 20
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 1, 3)
+
+
+def test_small_integers_hold_what_they_must():
+    for top in (32767, -32768, 32768, 2**31 - 1, -(2**31), 2**31, 2**62):
+        m = np.array([[top, 0], [1, -1]])
+        packed = K._small(m)
+        assert (K._matrix(packed.tobytes(), 2, 2) == m).all()

@@ -1,11 +1,13 @@
 """Exact top-k by inner product over integer vectors.
 
-Queries are packed into blocks and candidates into shards, one matrix a row.
-Query blocks go out in waves of bounded size; every shard meets every block of
-the wave in one matrix product, from which the k best of each query are
-selected, and a task merges its shards' lists as it goes.  The tasks' lists
-are then merged in two rounds of a tree, so that no task reads the lists of
-all others at once.
+Queries are packed into blocks and candidates into shards, one matrix a row,
+in the smallest integers that hold it.  Query blocks go out in waves of
+bounded size; every shard meets every block of the wave in one matrix product,
+from which the k best of each query are selected, and a task merges its
+shards' lists as it goes.  The tasks' lists are then merged in two rounds of a
+tree, so that no task reads the lists of all others at once.  Where there are
+several waves, the shards are written once and each wave's lists are written
+before the next begins, so that no plan grows with the number of waves.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import checkpointed, step_path
 
 #: Rows of a shard, rows of a query block, and query rows that are sent out at once.
 SHARD_ROWS, BLOCK_ROWS, WAVE_ROWS = 4096, 256, 16_384
@@ -41,6 +43,29 @@ def quantised(vectors: DataFrame, vector_col: str, scale: int) -> DataFrame:
     return kept.withColumn(vector_col, F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)))
 
 
+def _small(matrix: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest of 2, 4 or 8 bytes."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    size = next(n for n in (2, 4, 8) if -(1 << 8 * n - 1) <= low and high < 1 << 8 * n - 1)
+    return matrix.astype(f"<i{size}")
+
+
+def _matrix(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """A packed matrix; vectors without components have no bytes."""
+    size = len(data) // (rows * dim) if rows * dim else 8
+    return np.frombuffer(data, dtype=f"<i{size}").reshape(rows, dim)
+
+
+def _blocks(wave: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, ids, matrix) of at most BLOCK_ROWS queries, small blocks of one dimension put together."""
+    for dim in sorted({d for d, _, _ in wave}):
+        ids = [np.frombuffer(x, dtype="<i8") for d, x, _ in wave if d == dim]
+        matrix = np.concatenate([_matrix(x, len(n), dim) for n, x in zip(ids, (x for d, _, x in wave if d == dim))])
+        ids = np.concatenate(ids)
+        for at in range(0, len(ids), BLOCK_ROWS):
+            yield dim, ids[at : at + BLOCK_ROWS], matrix[at : at + BLOCK_ROWS]
+
+
 def _packed(rows: int):
     """Turns rows of (id, vector) into rows of (dim, ids, matrix) of at most `rows` vectors."""
 
@@ -49,7 +74,7 @@ def _packed(rows: int):
 
         def row(dim: int) -> pa.RecordBatch:
             ids, data = zip(*held.pop(dim))
-            columns = [pa.array([dim], pa.int32()), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([np.stack(data).astype("<i8").tobytes()], pa.binary())]
+            columns = [pa.array([dim], pa.int32()), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([_small(np.stack(data)).tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["dim", "ids", "data"])
 
         for b in batches:
@@ -75,7 +100,7 @@ def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     if top < _EXACT_FLOAT:
         return (queries.astype(np.float64) @ shard.astype(np.float64).T).astype(np.int64)
     if top < 2**63:
-        return queries @ shard.T
+        return queries.astype(np.int64) @ shard.astype(np.int64).T
     exact = queries.astype(object) @ shard.astype(object).T
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
@@ -92,30 +117,38 @@ def select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.nd
     return scores[order], ids[order]
 
 
-def _best(k: int):
-    """Keeps for each query the best of all tiles that a task sees."""
+def _best(k: int, wave: Broadcast):
+    """Keeps for each query of a wave the best of all tiles that a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = list(_blocks(wave.value))
         lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         part = TaskContext.get().partitionId()
         for b in batches:
-            for dim, ids, data, q_ids, q_data in zip(*(b.column(i).to_pylist() for i in range(5))):
-                ids, q_ids = np.frombuffer(ids, dtype="<i8"), np.frombuffer(q_ids, dtype="<i8")
-                shard, queries = (np.frombuffer(x, dtype="<i8").reshape(len(n), dim) for x, n in ((data, ids), (q_data, q_ids)))
-                scores = _scores(queries, shard)
-                for row, own in zip(scores, q_ids.tolist()):
-                    found = select(row, ids, own, k)
-                    if own in lists:
-                        both = [np.concatenate(x) for x in zip(lists[own], found)]
-                        found = select(*both, own, k)
-                    lists[own] = found
-        for at in range(0, len(lists), 1024):
-            some = list(lists.items())[at : at + 1024]
-            n = [len(s) for _, (s, _) in some]
+            for at in range(b.num_rows):
+                dim, raw, data = (b.column(i)[at].as_py() for i in range(3))
+                ids = np.frombuffer(raw, dtype="<i8")
+                shard = _matrix(data, len(ids), dim)
+                for width, q_ids, queries in blocks:
+                    if width != dim:
+                        continue
+                    scores = _scores(queries, shard)
+                    for row, top, own in zip(scores, scores.max(axis=1).tolist(), q_ids.tolist()):
+                        held = lists.get(own)
+                        if held is not None and len(held[0]) == k and top < held[0][-1]:
+                            continue
+                        found = select(row, ids, own, k)
+                        if held is not None:
+                            found = select(*(np.concatenate(x) for x in zip(held, found)), own, k)
+                        lists[own] = found
+        rows = [(q, s, i) for q, (s, i) in lists.items() if len(s)]
+        for at in range(0, len(rows), 1024):
+            some = rows[at : at + 1024]
+            n = [len(s) for _, s, _ in some]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat([q for q, _ in some], n).astype(np.int64)), pa.array(np.full(sum(n), part, dtype=np.int32)),
-                    pa.array(np.concatenate([i for _, (_, i) in some])), pa.array(np.concatenate([s for _, (s, _) in some])),
+                    pa.array(np.repeat(np.array([q for q, _, _ in some], dtype=np.int64), n)), pa.array(np.full(sum(n), part, dtype=np.int32)),
+                    pa.array(np.concatenate([i for _, _, i in some])), pa.array(np.concatenate([s for _, s, _ in some])),
                 ],
                 names=["query_id", "part", "vec_id", "score"],
             )
@@ -137,20 +170,26 @@ def top_k(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str,
     """
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("vector"))
     packed = "dim int, ids binary, data binary"
+    spark = vectors.sparkSession
     shards = pick(vectors).mapInArrow(_packed(SHARD_ROWS), packed)
     blocks = checkpointed(pick(queries).mapInArrow(_packed(BLOCK_ROWS), packed))
-    sizes = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("ids")).first()
+    sizes = blocks.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("ids")).first()
     waves = max(1, -(-sizes["bytes"] // WAVE_BYTES), -(-sizes["ids"] // (8 * WAVE_ROWS)))
-    schema = "query_id long, part int, vec_id long, score long"
-    found = None
+    if waves > 1:
+        waves *= 2  # blocks are dealt by hash: a wave has half of the bound on average
+        shards, out = checkpointed(shards), step_path(spark)
     for wave in range(waves):
         own = blocks.where(F.pmod(F.xxhash64("ids"), F.lit(waves)) == wave) if waves > 1 else blocks
-        own = F.broadcast(own.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
-        lists = shards.join(own, "dim").select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(_best(k), schema)
+        held = spark.sparkContext.broadcast([(r.dim, bytes(r.ids), bytes(r.data)) for r in own.collect()])
+        lists = shards.mapInArrow(_best(k, held), "query_id long, part int, vec_id long, score long")
         lists = _merged(lists, k, ["query_id", F.floor(F.col("part") / FAN_IN).alias("branch")])
-        lists = _merged(lists, k, ["query_id"])
-        found = lists if found is None else found.unionByName(lists)
-    return found.select("query_id", "rank", "vec_id", "score")
+        lists = _merged(lists, k, ["query_id"]).select("query_id", "rank", "vec_id", "score")
+        if waves == 1:
+            return lists
+        lists.write.mode("append").parquet(out)
+        held.destroy()
+    # A query id whose rows lie in blocks of several waves has a list from each.
+    return _merged(spark.read.parquet(out).drop("rank"), k, ["query_id"]).select("query_id", "rank", "vec_id", "score")
 
 
 def _merged(lists: DataFrame, k: int, keys: list) -> DataFrame:

@@ -31,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def step_path(spark: SparkSession) -> str:
+    """A place of its own for a table in the shared folder."""
+    return f"{shared_folder(spark)}/{_scope.get() or f'steps-{spark.sparkContext.applicationId}'}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, computed once and written as a table in the shared folder.
 
@@ -38,7 +43,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     over many such steps keep true estimates.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{_scope.get() or f'steps-{spark.sparkContext.applicationId}'}/{uuid.uuid4().hex}"
+    path = step_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

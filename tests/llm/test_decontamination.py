@@ -49,7 +49,7 @@ def test_whole_table_against_brute_force(spark):
     assert any(n for _, _, n, _ in got)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 150])
+@pytest.mark.parametrize("block", [16 << 20, 150, 20])
 def test_random_texts_in_any_number_of_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(D, "BLOCK_BYTES", block)
     rng = random.Random(2)

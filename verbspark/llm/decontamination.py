@@ -9,7 +9,10 @@ where the window must begin and end, and the whole window is then verified
 word by word.
 
 The benchmark goes to the executors in blocks of bounded size, measured
-beforehand; documents are never shuffled.
+beforehand, and documents are never shuffled.  A benchmark of one block takes
+one pass to count and one to mark.  Of several blocks each takes two passes,
+which write the spans of hit texts only, by the texts' SHA-256; the blocks'
+spans are then put together and joined to the documents.
 """
 
 from __future__ import annotations
@@ -19,17 +22,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import checkpointed, step_path
 from .text_kernels import constants, mix64, words
 
 #: Separators of words once A-Z are folded: all of ASCII but letters and digits.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 WINDOW = 10
-#: Bytes of benchmark text that are held in memory and sent to the executors at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are held in memory at once; their index takes about 20 times as much, and is sent to all executors.
+BLOCK_BYTES = 4 << 20
+#: Up to so many hit texts are sent to all executors; more are joined by a shuffle.
+BROADCAST_HITS = 50_000
 _PROBE_BITS = 20
 _CANDIDATES = 1 << 18
 
@@ -37,9 +42,11 @@ _CANDIDATES = 1 << 18
 class WindowIndex(NamedTuple):
     """Distinct windows, the items that have them, and the probes that find them."""
 
-    table: np.ndarray  # word hashes, a row per window
+    table: np.ndarray  # word hashes, a row per window, 0 beyond its length
     length: np.ndarray
-    items: list[list[str]]
+    items: list[str]  # distinct and sorted
+    owned: np.ndarray  # owners[owned[i]:owned[i + 1]] are the numbers of the items that have window i
+    owners: np.ndarray
     shingles: np.ndarray  # sorted distinct shingles of all windows
     probes: np.ndarray  # sorted distinct rarest shingles
     bounds: np.ndarray  # windows[bounds[i]:bounds[i + 1]] have probe i
@@ -58,8 +65,15 @@ def _singles(hashes: np.ndarray) -> np.ndarray:
         return mix64(hashes * (constants(1, 73)[0] | np.uint64(1)))
 
 
-def _shingles_of(row: np.ndarray) -> np.ndarray:
-    return _pairs(row) if len(row) > 1 else _singles(row)
+def _window_shingles(table: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each window in a row, and which of them exist; a window of one word has that word alone."""
+    with np.errstate(over="ignore"):
+        f = constants(2, 71) | np.uint64(1)
+        out = mix64(table[:, :-1] * f[0] + table[:, 1:] * f[1]) if table.shape[1] > 1 else np.zeros((len(table), 1), dtype=np.uint64)
+    some = np.arange(out.shape[1])[None, :] < np.maximum(length - 1, 1)[:, None]
+    single = length == 1
+    out[single, 0] = _singles(table[single, 0])
+    return out, some
 
 
 def _lookup_bits(values: np.ndarray) -> np.ndarray:
@@ -80,40 +94,39 @@ def _find(values: np.ndarray, wanted: np.ndarray, bits: np.ndarray) -> tuple[np.
 def index_windows(items: list[tuple[str, str | None]], size: int) -> WindowIndex:
     """The distinct windows of items; probes are not chosen yet."""
     w = words(pa.array([t for _, t in items], pa.large_string()), SEPARATORS)
-    seen: dict[bytes, int] = {}
-    rows: list[np.ndarray] = []
-    owners: list[list[str]] = []
-    for (item, _), a, b in zip(items, w.bounds[:-1], w.bounds[1:]):
-        for k in range(a, max(a + (b > a), b - size + 1)):
-            row = w.hashes[k : min(b, k + size)]
-            number = seen.setdefault(row.tobytes(), len(rows))
-            if number == len(rows):
-                rows.append(row)
-                owners.append([])
-            if item not in owners[number][-1:]:
-                owners[number].append(item)
-    table = np.zeros((len(rows), size), dtype=np.uint64)
-    for k, row in enumerate(rows):
-        table[k, : len(row)] = row
-    length = np.array([len(r) for r in rows], dtype=np.int64)
-    shingles = np.unique(np.concatenate([_shingles_of(r) for r in rows])) if rows else np.zeros(0, dtype=np.uint64)
+    n = np.diff(w.bounds)
+    many = np.where(n >= size, n - size + 1, np.minimum(n, 1))  # windows of each item
+    item = np.repeat(np.arange(len(items)), many)
+    start = w.bounds[:-1][item] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    length = np.minimum(n, size)[item]
+    at = start[:, None] + np.arange(size)[None, :]
+    padded = np.concatenate((w.hashes, np.zeros(size, dtype=np.uint64)))
+    table = np.where(np.arange(size)[None, :] < length[:, None], padded[at], np.uint64(0)) if len(start) else np.zeros((0, size), dtype=np.uint64)
+    keys = np.ascontiguousarray(np.column_stack((table, length.astype(np.uint64)))).view(f"V{8 * (size + 1)}").ravel()
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True) if len(keys) else (None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    names = sorted({name for name, _ in items})
+    number = {name: k for k, name in enumerate(names)}
+    owner = np.array([number[name] for name, _ in items], dtype=np.int64)[item] if len(items) else item
+    pairs = np.unique(which.astype(np.int64) * max(1, len(names)) + owner)
+    owned = np.searchsorted(pairs // max(1, len(names)), np.arange(len(first) + 1))
+    table, length = table[first], length[first].astype(np.int64)
+    values, some = _window_shingles(table, length)
     none = np.zeros(0, dtype=np.int64)
-    return WindowIndex(table, length, owners, shingles, shingles[:0], none, none, none)
-
-
-def choose_probes(index: WindowIndex, counts: dict[int, int]) -> WindowIndex:
-    """Each window's rarest shingle in the corpus, the first of equals."""
-    probes, offset = [], []
-    for row, n in zip(index.table, index.length):
-        own = _shingles_of(row[:n])
-        k = min(range(len(own)), key=lambda i: (counts.get(int(own[i]), 0), i))
-        probes.append(own[k])
-        offset.append(k)
-    found = np.array(probes, dtype=np.uint64)
-    distinct, which = np.unique(found, return_inverse=True)
+    return WindowIndex(table, length, names, owned, pairs % max(1, len(names)), np.unique(values[some]), np.zeros(0, dtype=np.uint64), none, none, none)
+
+
+def choose_probes(index: WindowIndex, shingles: np.ndarray, counts: np.ndarray) -> WindowIndex:
+    """Each window's rarest shingle in the corpus, the first of equals; shingles that are not among `shingles`, sorted, do not occur."""
+    values, some = _window_shingles(index.table, index.length)
+    n = np.zeros(values.shape, dtype=np.int64)
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, values), len(shingles) - 1)
+        n = np.where(shingles[at] == values, counts[at], 0)
+    offset = np.argmin(np.where(some, n, np.iinfo(np.int64).max), axis=1) if len(values) else np.zeros(0, dtype=np.int64)
+    distinct, which = np.unique(values[np.arange(len(values)), offset], return_inverse=True)
     order = np.argsort(which, kind="stable")
     bounds = np.searchsorted(which[order], np.arange(len(distinct) + 1))
-    return index._replace(probes=distinct, bounds=bounds, windows=order, offset=np.array(offset, dtype=np.int64))
+    return index._replace(probes=distinct, bounds=bounds, windows=order, offset=offset)
 
 
 def occurrences(index: WindowIndex, bits: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,18 +190,49 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("body"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("body") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.expr("cast(array() as array<struct<start: long, length: long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    out = out.withColumn("n_words", F.lit(0).cast("long"))
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = index_windows([(r.item, r.body) for r in own.collect()], size)
-        seen = docs.select(F.col(text_col).alias("body")).mapInArrow(_counting(docs, index), "shingle long, n long")
-        counts = {int(np.int64(r.shingle).view(np.uint64)): r.n for r in seen.groupBy("shingle").agg(F.sum("n").alias("n")).collect()} if len(index.length) else {}
-        out = out.mapInArrow(_marking(docs, choose_probes(index, counts)), f"id {kind}, body string, spans array<struct<start: long, length: long>>, items array<string>, n_words long")
-        if block < blocks - 1:
-            out = checkpointed(out)
-    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}"
+    found = f"n_words long, spans {_SPANS}, items array<string>"
+    if blocks == 1:
+        return rows.mapInArrow(_marking(rows, _block(rows, items, size), True), f"{kind}, {found}").withColumnRenamed("id", id_col)
+    named = rows.select("id", F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"), "body")
+    path = step_path(docs.sparkSession)
+    for block in range(2 * blocks):  # items are dealt by hash: a block has half of the bound on average
+        index = _block(rows, items.where(F.pmod(F.xxhash64("item", "body"), F.lit(2 * blocks)) == block), size)
+        named.select("digest", "body").mapInArrow(_marking(rows, index, False), f"digest string, {found}").write.mode("append").parquet(path)
+    hits = docs.sparkSession.read.parquet(path).groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = checkpointed(hits.select("digest", _merged("spans").alias("spans"), "items"))
+    if hits.count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    kept = named.mapInArrow(_marking(rows, index_windows([], size), True), f"{kind}, digest string, {found}").select("id", "digest", "n_words")
+    out = kept.join(hits, "digest", "left")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+_SPANS = "array<struct<start: long, length: long>>"
+
+
+def _merged(spans: str) -> Column:
+    """Spans in any order, those that touch as one."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["length"], s["start"] + s["length"] - last["start"]).alias("length"))
+        touches = F.coalesce(last["start"] + last["length"] >= s["start"], F.lit(False))
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), step)
+
+
+def _block(rows: DataFrame, items: DataFrame, size: int) -> WindowIndex:
+    """The index of some items, each window with its rarest shingle among all texts."""
+    index = index_windows([(r.item, r.body) for r in items.collect()], size)
+    if not len(index.length):
+        return index
+    seen = rows.select("body").mapInArrow(_counting(rows, index), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    shingles, counts = seen.column("shingle").to_numpy().view(np.uint64), seen.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return choose_probes(index, shingles[order], counts[order])
 
 
 def _counting(docs: DataFrame, index: WindowIndex):
@@ -209,36 +253,39 @@ def _counting(docs: DataFrame, index: WindowIndex):
     return run
 
 
-def _marking(docs: DataFrame, index: WindowIndex):
+def _marking(docs: DataFrame, index: WindowIndex, every: bool):
+    """Rows of (names..., body) become (names..., n_words, spans, items); only those with a hit unless `every`."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    kinds = [pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         bits = _lookup_bits(index.probes)
         for b in batches:
-            for part in _parts(b, 1):
-                yield mark(index, bits, part)
+            for part in _parts(b, b.num_columns - 1):
+                out = mark(index, bits, part)
+                if out.num_rows:
+                    yield out
 
     def mark(index: WindowIndex, bits: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
-        w = words(part.column(1), SEPARATORS)
-        begin, window = occurrences(index, bits, w.hashes, w.bounds)
-        spans, items = part.column(2).to_pylist(), part.column(3).to_pylist()
+        names = part.num_columns - 1
+        w = words(part.column(names), SEPARATORS)
+        begin, window = occurrences(index, bits, w.hashes, w.bounds) if len(index.probes) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        spans, items = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
         text = np.searchsorted(w.bounds, begin, side="right") - 1
-        for k in np.unique(text).tolist():
-            own = text == k
+        order = np.argsort(text, kind="stable")
+        hit_texts, cuts = np.unique(text[order], return_index=True)
+        for k, own in zip(hit_texts.tolist(), np.split(order, cuts[1:])):
             hit = np.zeros(w.bounds[k + 1] - w.bounds[k] + 1, dtype=np.int64)
-            for s in spans[k]:
-                hit[s["start"]] += 1
-                hit[s["start"] + s["length"]] -= 1
             first = begin[own] - w.bounds[k]
             np.add.at(hit, first, 1)
             np.add.at(hit, first + index.length[window[own]], -1)
             edge = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(hit) > 0))))
             spans[k] = [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2])]
-            items[k] = sorted({i for v in np.unique(window[own]).tolist() for i in index.items[v]}.union(items[k]))
-        kinds = [part.schema.field(i).type for i in (2, 3)]
-        return pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array(spans, kinds[0]), pa.array(items, kinds[1]), pa.array(np.diff(w.bounds))], names=["id", "body", "spans", "items", "n_words"]
-        )
+            owners = np.unique(np.concatenate([index.owners[index.owned[v] : index.owned[v + 1]] for v in np.unique(window[own]).tolist()]))
+            items[k] = [index.items[i] for i in owners.tolist()]
+        columns = [*part.columns[:names], pa.array(np.diff(w.bounds)), pa.array(spans, kinds[0]), pa.array(items, kinds[1])]
+        out = pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:names], "n_words", "spans", "items"])
+        return out if every else out.take(pa.array(hit_texts, pa.int64()))
 
     return run

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,67 @@ def test_steps_lower_the_loss_and_blocks_are_whole():
     assert all((again[name] == p[name]).all() for name in p)
 
 
+def test_a_step_follows_the_gradient():
+    rng = np.random.default_rng(9)
+    ids = rng.integers(0, 300, 60).astype(np.int32)
+    near = M.contexts(ids, np.array([0, 25, 60]))
+    trainer = M.Trainer(small(5))
+    trainer.step(ids, near)
+    loss = lambda p: -sum(plain_log_probability(p, t, n) for t, n in zip(ids, near)) / len(ids)
+    c, m = divmod(int(ids[3]), M.MEMBERS)
+    for name, at in (("bias", (2,)), ("class_bias", (c,)), ("class_out", (c, 4)), ("member_out", (c, m, 7)), ("member_bias", (c, m)), ("place", (1, 3)), ("embedding", (int(ids[4]), 5)), ("embedding", (M.VOCABULARY, 1))):
+        values = []
+        for change in (1e-3, -1e-3):
+            p = {k: v.astype(float) for k, v in small(5).items()}
+            p[name][at] += change
+            values.append(loss(p))
+        gradient = (values[0] - values[1]) / 2e-3
+        row = at if name in ("bias", "class_bias") else at[:-1]
+        moved = trainer.p[name][at] - small(5)[name][at]
+        assert moved == pytest.approx(-M.RATE * gradient / math.sqrt(trainer.squares[name][row]), rel=0.02, abs=1e-5)
+
+
+def test_equal_tables_give_equal_scores_in_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_TOKENS", 40_000)
+    monkeypatch.setattr(M, "MIXED", 5_000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(600)
+    few, many = ({r.doc_id: r.log_likelihood for r in M.fit_and_score(docs.repartition(n)).collect()} for n in (4, 40))
+    assert few.keys() == many.keys()
+    assert [few[k] for k in few] == pytest.approx([many[k] for k in few], rel=1e-5)
+
+
+def test_scores_of_a_small_table_by_plain_arithmetic(spark, monkeypatch):
+    """The query's rows again: words split, counted and scored one by one with the trained parameters."""
+    monkeypatch.setattr(M, "SHARD_TOKENS", 300)
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.002)), 6000)}" for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    rows += [(1000 + i, f"u{i} u{i + 1}") for i in range(2500)] + [(5000, None), (5001, "W1, w2?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_tokens, r.log_likelihood) for r in M.fit_and_score(df).collect()}
+
+    texts = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in rows}
+    names = sorted({w for t in texts.values() for w in t})
+    code = dict(zip(names, M.words(pa.array(names), M.SEPARATORS).hashes.tolist()))
+    count = Counter(code[w] for t in texts.values() for w in t)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    own = M.VOCABULARY - M.HASHED
+    assert len(count) > own
+    ids = {h: k if k < own else own + h % M.HASHED for k, h in enumerate(sorted(count, key=lambda h: (-count[h], signed(h))))}
+    rest = Counter()
+    for h, k in ids.items():
+        rest[k] += count[h] if k >= own else 0
+    p = M.train(df, M.vocabulary(df))
+    for i in [5000, 5001, *range(0, 400, 40), *range(1000, 3500, 250)]:
+        seen = [ids[code[w]] for w in texts[i]]
+        padded = [M.VOCABULARY] * M.SIDE + seen + [M.VOCABULARY] * M.SIDE
+        total = 0.0
+        for k, (w, token) in enumerate(zip(texts[i], seen)):
+            total += plain_log_probability(p, token, [padded[k + M.SIDE + d] for d in M._OFFSETS])
+            if token >= own:
+                total += math.log(count[code[w]] / (rest[token] + 0.5))
+        assert got[i] == (len(seen), pytest.approx(min(total, 0.0), rel=1e-4, abs=1e-3))
+
+
 def test_both_sides_are_used(spark):
     rng = random.Random(6)
     rows = []

@@ -12,10 +12,13 @@ of a full softmax.  A word that shares its id is then predicted among the words
 of that id, by their counts over the whole corpus.  The table of counts grows
 with the corpus; it is joined to the tokens and never sent anywhere whole.
 
-Training reads the whole corpus once: each task trains its own copy on all its
-tokens from a common start, and the copies are averaged by their tokens, block
-of parameters by block, in a shuffle.  Only the finished model, of fixed size,
-reaches the driver.
+Training reads every token of the corpus once, in ROUNDS.  Texts are dealt by
+hash to rounds and shards; their number follows from the corpus, not from its
+partitions.  In a round each shard trains a copy of the model on its tokens, in
+the order of the hashes, and the copies are averaged by their tokens, block of
+parameters by block, in a shuffle; the next round starts from the average.  So
+equal tables give equal models however they are partitioned.  Only the averaged
+model, of fixed size, reaches the driver.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 CLASSES, MEMBERS, HASHED, SIDE = 64, 64, 256, 2
 VOCABULARY = CLASSES * MEMBERS
 WIDTH, BATCH, RATE = 16, 8192, 0.05
+#: Averaging rounds; tokens of a shard over all rounds, unless that makes too many shards.
+ROUNDS, SHARD_TOKENS, MOST_SHARDS = 4, 2_000_000, 16_384
+#: Tokens that are mixed before they are dealt into batches.
+MIXED = 32 * BATCH
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 1_000_000
 _BLOCK = 2048
@@ -45,6 +52,8 @@ _SHAPES = {
     "embedding": (VOCABULARY + 1, WIDTH), "place": (len(_OFFSETS), WIDTH), "bias": (WIDTH,), "class_out": (CLASSES, WIDTH), "class_bias": (CLASSES,),
     "member_out": (CLASSES, MEMBERS, WIDTH), "member_bias": (CLASSES, MEMBERS),
 }
+#: Step sizes: one for each row of parameters.
+_SQUARES = {name: shape[:-1] if len(shape) > 1 else shape for name, shape in _SHAPES.items()}
 
 Parameters = dict[str, np.ndarray]
 
@@ -57,6 +66,7 @@ class Vocabulary:
     """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, rest: np.ndarray | None = None, table: DataFrame | None = None):
+        self.total = int(total)
         self.rest = np.zeros(HASHED) if rest is None else rest
         self.table = table
         order = np.argsort(hashes, kind="stable")
@@ -93,13 +103,13 @@ def start(weights: np.ndarray) -> Parameters:
     return out
 
 
-def flat(p: Parameters) -> np.ndarray:
-    return np.concatenate([p[name].ravel() for name in _SHAPES])
+def flat(p: Parameters, shapes: dict[str, tuple[int, ...]] = _SHAPES) -> np.ndarray:
+    return np.concatenate([p[name].ravel() for name in shapes])
 
 
-def shaped(values: np.ndarray) -> Parameters:
+def shaped(values: np.ndarray, shapes: dict[str, tuple[int, ...]] = _SHAPES) -> Parameters:
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
+    for name, shape in shapes.items():
         n = int(np.prod(shape))
         out[name] = np.array(values[at : at + n], dtype=np.float32).reshape(shape)
         at += n
@@ -139,66 +149,76 @@ def _hidden(p: Parameters, near: np.ndarray) -> np.ndarray:
     return np.tanh(total, out=total)
 
 
-def _members(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts tokens of a class together, and (class, begin, end) of the classes in it."""
+    classes = ids // MEMBERS
     order = np.argsort(classes.astype(np.uint8), kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
 
 
 def log_probabilities(p: Parameters, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
     """The log-probability of each token given its neighbours."""
     out = np.empty(len(ids))
-    for a in range(0, len(ids), BATCH):
-        own = ids[a : a + BATCH]
-        h = _hidden(p, context[a : a + BATCH])
-        classes, member = own // MEMBERS, own % MEMBERS
+    for begin in range(0, len(ids), BATCH):
+        order, classes = _by_class(ids[begin : begin + BATCH])
+        order += begin
+        own = ids[order]
+        h = _hidden(p, context[order])
+        rows, member = np.arange(len(own)), own % MEMBERS
         logits, _, sums = _exponentials(h, p["class_out"], p["class_bias"])
-        logp = logits[np.arange(len(own)), classes] - np.log(sums)
-        for c, at in _members(classes):
-            logits, _, sums = _exponentials(h[at], p["member_out"][c], p["member_bias"][c])
-            logp[at] += logits[np.arange(len(at)), member[at]] - np.log(sums)
-        out[a : a + BATCH] = logp
+        logp = logits[rows, own // MEMBERS] - np.log(sums)
+        for c, a, b in classes:
+            logits, _, sums = _exponentials(h[a:b], p["member_out"][c], p["member_bias"][c])
+            logp[a:b] += logits[rows[: b - a], member[a:b]] - np.log(sums)
+        out[order] = logp
     return out
 
 
 class Trainer:
     """Stochastic gradient steps with a step size per row of parameters."""
 
-    def __init__(self, p: Parameters):
+    def __init__(self, p: Parameters, squares: Parameters | None = None):
         self.p = p
-        self._squares = {name: np.full(shape[:-1] if len(shape) > 1 else shape, 1e-6, dtype=np.float32) for name, shape in _SHAPES.items()}
+        self.squares = squares or {name: np.full(shape, 1e-6, dtype=np.float32) for name, shape in _SQUARES.items()}
         self.tokens = 0
 
     def _move(self, name: str, at, gradient: np.ndarray) -> None:
-        seen = self._squares[name]
-        seen[at] += (gradient**2).mean(axis=-1) if gradient.ndim > seen[at].ndim else gradient**2
-        scale = np.sqrt(seen[at])
-        self.p[name][at] -= RATE * gradient / (scale[..., None] if gradient.ndim > scale.ndim else scale)
+        seen = self.squares[name]
+        if gradient.ndim > 1:
+            seen[at] += np.einsum("...i,...i->...", gradient, gradient) / np.float32(gradient.shape[-1])
+            self.p[name][at] -= RATE * gradient / np.sqrt(seen[at])[..., None]
+        else:
+            seen[at] += gradient**2
+            self.p[name][at] -= RATE * gradient / np.sqrt(seen[at])
 
     def step(self, ids: np.ndarray, near: np.ndarray) -> None:
         p, n = self.p, len(ids)
+        order, classes = _by_class(ids)
+        ids, near = ids[order], near[order]
         h = _hidden(p, near)
-        classes, member = ids // MEMBERS, ids % MEMBERS
+        rows, member = np.arange(n), ids % MEMBERS
+        ones = np.ones(n, dtype=np.float32)
         whole = slice(None)
 
         def errors(own: np.ndarray, out: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
             _, e, sums = _exponentials(own, out, bias)
             e /= sums[:, None]
-            e[np.arange(len(own)), target] -= 1
+            e[rows[: len(own)], target] -= 1
             return e
 
-        d = errors(h, p["class_out"], p["class_bias"], classes)
+        d = errors(h, p["class_out"], p["class_bias"], ids // MEMBERS)
         dh = d @ p["class_out"]
+        member_out, member_bias = np.zeros(_SHAPES["member_out"], dtype=np.float32), np.zeros((CLASSES, MEMBERS), dtype=np.float32)
+        for c, a, b in classes:
+            q = errors(h[a:b], p["member_out"][c], p["member_bias"][c], member[a:b])
+            dh[a:b] += q @ p["member_out"][c]
+            np.matmul(q.T, h[a:b], out=member_out[c])
+            np.matmul(ones[a:b], q, out=member_bias[c])
         self._move("class_out", whole, d.T @ h / n)
-        self._move("class_bias", whole, np.ones(n, dtype=np.float32) @ d / n)
-        for c, at in _members(classes):
-            own = h[at]
-            q = errors(own, p["member_out"][c], p["member_bias"][c], member[at])
-            dh[at] += q @ p["member_out"][c]
-            self._move("member_out", c, q.T @ own / n)
-            self._move("member_bias", c, np.ones(len(at), dtype=np.float32) @ q / n)
+        self._move("class_bias", whole, ones @ d / n)
+        self._move("member_out", whole, member_out / n)
+        self._move("member_bias", whole, member_bias / n)
         dh *= 1 - h * h
         dh /= n
         seen = near.T.astype(np.uint16).ravel()  # place by place
@@ -273,43 +293,106 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     return Vocabulary(hashes, numbers, total, rest, counts)
 
 
-def train(docs: DataFrame, words_known: Vocabulary, text_col: str = "text") -> Parameters:
-    """Parameters trained on all tokens of all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(words_known)
+class Mixer:
+    """Trains on the texts of one shard, mixed some at a time, however they are cut into batches of rows."""
+
+    def __init__(self, trainer: Trainer):
+        self.trainer = trainer
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._size = 0
+
+    def add(self, ids: np.ndarray, bounds: np.ndarray) -> None:
+        near = contexts(ids, bounds)
+        at = 0
+        while at < len(ids):
+            end = min(len(ids), at + MIXED - self._size)
+            self._held.append((ids[at:end], near[at:end]))
+            self._size += end - at
+            at = end
+            if self._size >= MIXED:
+                self.flush()
+
+    def flush(self) -> None:
+        if self._size:
+            ids, near = (np.concatenate(x) for x in zip(*self._held))
+            mixed = np.random.default_rng(len(ids)).permutation(len(ids))
+            for a in range(0, len(ids), BATCH):
+                at = mixed[a : a + BATCH]
+                self.trainer.step(ids[at], near[at])
+        self._held, self._size = [], 0
+
+
+def train(docs: DataFrame, words_known: Vocabulary, text_col: str = "text", id_col: str = "doc_id") -> Parameters:
+    """Parameters trained on all tokens of all texts, once each.
+
+    Texts are dealt by a hash of id and text, so that copies of a text do not
+    all meet in one shard.  No texts give the parameters before training.
+    """
+    shards = int(max(1, min(MOST_SHARDS, -(-words_known.total // SHARD_TOKENS))))
+    rows = docs.select(F.col(text_col).alias("body"), F.xxhash64(F.lit(31), F.col(id_col), F.col(text_col)).alias("place")).where("body is not null")
+    rows = rows.withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int"))
+    parameters, squares = start(words_known.weights), Trainer({}).squares
+    for turn in range(ROUNDS):
+        own = rows.where(F.pmod("place", F.lit(ROUNDS)) == turn)
+        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "body")
+        state = _averaged(own, words_known, parameters, squares)
+        if state is not None:
+            parameters, squares = state
+    return parameters
+
+
+def _averaged(rows: DataFrame, words_known: Vocabulary, parameters: Parameters, squares: Parameters) -> tuple[Parameters, Parameters] | None:
+    """The mean of the models that each shard trains from the given one; None without tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast((words_known, parameters, squares))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        trainer = Trainer(start(known.weights))
+        known, parameters, squares = shared.value
+        now, mixer = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            mixer.flush()
+            trainer = mixer.trainer
+            if trainer.tokens:
+                values = np.concatenate((flat(trainer.p), flat(trainer.squares, _SQUARES)))
+                blocks = [values[a : a + _BLOCK].astype("<f4").tobytes() for a in range(0, len(values), _BLOCK)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(n), pa.int32()), pa.array([now] * n, pa.int32()), pa.array([trainer.tokens] * n, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "shard", "tokens", "data"]
+                )
+
         for b in batches:
-            for part in _parts(b, 0):
-                w = words(part.column(0), SEPARATORS)
-                ids = known.ids(w.hashes)
-                near = contexts(ids, w.bounds)
-                mixed = np.random.default_rng(len(ids)).permutation(len(ids))
-                for a in range(0, len(ids), BATCH):
-                    at = mixed[a : a + BATCH]
-                    trainer.step(ids[at], near[at])
-        if trainer.tokens:
-            values = flat(trainer.p)
-            blocks = [values[a : a + _BLOCK].astype("<f4").tobytes() for a in range(0, len(values), _BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([trainer.tokens] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "tokens", "data"])
+            of = b.column(0).to_numpy()
+            for shard in np.unique(of).tolist():  # rows come by shard
+                if shard != now:
+                    if mixer:
+                        yield from done()
+                    now, mixer = shard, Mixer(Trainer({k: v.copy() for k, v in parameters.items()}, {k: v.copy() for k, v in squares.items()}))
+                first, last = np.searchsorted(of, (shard, shard + 1)).tolist()
+                for part in _parts(b.slice(first, last - first), 1):
+                    w = words(part.column(1), SEPARATORS)
+                    mixer.add(known.ids(w.hashes), w.bounds)
+        if mixer:
+            yield from done()
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         weights: dict[int, int] = {}
         for b in batches:
-            for block, tokens, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for block, tokens, data in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
                 sums[block] = sums.get(block, 0) + tokens * np.frombuffer(data, dtype="<f4").astype(np.float64)
                 weights[block] = weights.get(block, 0) + tokens
         if sums:
             keys = sorted(sums)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(sums[k] / weights[k]).astype("<f4").tobytes() for k in keys], pa.binary())], names=["block", "data"])
 
-    copies = docs.select(F.col(text_col).alias("body")).mapInArrow(local, "block int, tokens long, data binary")
-    rows = copies.repartition("block").mapInArrow(averaged, "block int, data binary").collect()
-    if not rows:
-        return start(words_known.weights)
-    return shaped(np.concatenate([np.frombuffer(r.data, dtype="<f4") for r in sorted(rows, key=lambda r: r.block)]))
+    copies = rows.mapInArrow(local, "block int, shard int, tokens long, data binary")
+    copies = copies.repartition("block").sortWithinPartitions("block", "shard")  # sums in one order
+    means = sorted(copies.mapInArrow(averaged, "block int, data binary").collect(), key=lambda r: r.block)
+    if not means:
+        return None
+    values = np.concatenate([np.frombuffer(r.data, dtype="<f4") for r in means])
+    n = len(flat(parameters))
+    return shaped(values[:n]), shaped(values[n:], _SQUARES)
 
 
 def score(docs: DataFrame, words_known: Vocabulary, parameters: Parameters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,4 +437,4 @@ def score(docs: DataFrame, words_known: Vocabulary, parameters: Parameters, id_c
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts words, trains and scores on the same texts."""
     known = vocabulary(docs, text_col)
-    return score(docs, known, train(docs, known, text_col), id_col, text_col)
+    return score(docs, known, train(docs, known, text_col, id_col), id_col, text_col)

@@ -4,10 +4,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from verbspark.llm import language_id as L
 from verbspark.llm.queries import QUERIES, fold
-from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.01"
 
@@ -52,3 +52,28 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in L.identify(df, none).collect()} == {"und"}
     assert L.identify(df.limit(0), model).collect() == []
     assert df.where(fold(5).isNull()).count() == 0
+
+
+def test_predictions_row_by_row(spark):
+    """Every prediction of a table again, by plain gram counts and cosines."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.learn(docs, fold(5) != 0)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in L.identify(docs, model).collect():
+        text = texts[r.doc_id]
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = np.log1p(plain_counts(text)) * model.weights
+        cosine = [float(v @ c) / np.linalg.norm(v) for c in model.centroids]
+        best = int(np.argmax(cosine))
+        assert r.lang_pred == model.languages[best] and abs(r.score - cosine[best]) < 1e-5
+        assert r.rejected == (cosine[best] < model.least[best]) or abs(cosine[best] - model.least[best]) < 1e-5
+
+
+def test_the_sample_is_bounded_for_any_ids_and_copies(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda counts, languages, real=L.fit: seen.append(languages) or real(counts, languages))
+    docs = spark.range(4000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('word ', if(id % 3 = 0, 'same', char(97 + id % 26) || char(97 + id % 23))) AS text", "if(id % 2 = 0, 'a', 'b') AS lang")
+    L.learn(docs, F.lit(True), per_language=30)
+    assert 0 < seen[0].count("a") <= 60 and 0 < seen[0].count("b") <= 60

@@ -1,6 +1,9 @@
 """Toxicity: held-out quality, the risk estimator, awkward texts."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,8 @@ def test_non_negative_risk_separates_and_keeps_the_prior():
     u = np.zeros((400, 5))
     u[:80, 0] = 1
     p[:, 1:] = u[:, 1:][:60] = rng.integers(0, 2, (60, 4))
-    weights, bias = T.train(p, u, 0.2)
+    rows = lambda x: T.Rows(*np.nonzero(x), x[np.nonzero(x)], *x.shape)
+    weights, bias = T.train(rows(p), rows(u), 0.2)
     s = lambda x: 1 / (1 + np.exp(-(x @ weights + bias)))
     assert s(p).min() > 0.5 and s(u[80:]).max() < 0.3
 
@@ -76,3 +80,34 @@ def test_edge_cases(spark):
     assert len({r.score for r in T.score(docs, none).collect()}) == 1
     assert T.score(docs.limit(0), model).collect() == []
     assert len(T.learn(docs.limit(0), labels, F.lit(True)).features) == 0
+
+
+def test_scores_row_by_row(spark):
+    """Every score of the table again, with words counted one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = T.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), fold(4) != 2)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    assert weights
+    texts = {r.doc_id: re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())) for r in docs.collect()}
+    kinds = (None, *T.PREFIXES)
+    code = {}
+    for word in {w for t in texts.values() for w in t}:
+        code[word] = [int(h[0]) for h, _ in T._features(pa.array([word], pa.binary()))]
+    for r in T.score(docs, model).collect():
+        words, z = texts[r.doc_id], model.bias
+        for k in range(len(kinds)):
+            for h, n in Counter(code[w][k] for w in words).items():
+                if h in weights:
+                    share = n / (len(words) + T.FEW_WORDS)
+                    z += weights[h] * share / (share + T.HALF_SHARE)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_the_sample_is_bounded_for_repeated_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(T, "checkpointed", lambda df, real=T.checkpointed: seen.append(real(df)) or seen[-1])
+    docs = spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('awful scum ', id % 1500) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    T.learn(docs, labels, F.lit(True), positives=20, unlabelled=50)
+    counts = seen[0].agg(F.sum("p"), F.sum("u")).first()
+    assert counts[0] == 20 and 20 < counts[1] <= 100

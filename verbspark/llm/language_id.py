@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text_kernels import text_buffer
@@ -142,19 +142,22 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def learn(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def learn(docs: DataFrame, use: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from a sample of about `per_language` rows of each language, out of those where `use` holds.
 
     Rows with a null language or a text without letters teach nothing.  The
-    sample is chosen by a hash of the id, so it is the same in every run.
+    sample is chosen by a hash of the text, so it is the same in every run;
+    equal texts count once, and no language has more than twice as many.
     """
     rows = docs.where(use & F.col(lang_col).isNotNull())
     totals = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not totals:
         return fit(np.zeros((0, GRAMS), dtype=np.float32), [])
     share = F.create_map(*(x for r in totals for x in (F.lit(r["lang"]), F.lit(per_language / r["count"]))))
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(chance < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(text_col), F.lit(11)).alias("place"))
+    chosen = rows.where(F.pmod("place", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]).dropDuplicates(["lang", "place"])
+    first = Window.partitionBy("lang").orderBy("place")  # as many rows as are wanted, or twice as many if the hash is against us
+    chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 2 * per_language).select("lang", "body")
     sample = chosen.mapInArrow(_sampled, "lang string, grams binary, counts binary").collect()
     sample = sorted((r for r in sample if len(r.grams)), key=lambda r: (r.lang, bytes(r.grams), bytes(r.counts)))
     counts = np.zeros((len(sample), GRAMS), dtype=np.float32)
@@ -167,8 +170,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """The language of every text: id_col, lang_pred, score (the cosine, 0 to 1), rejected.
 
     A null text, or one without a letter, is `und` with score 0 and rejected.
-    Any other text gets the nearest learned language; `rejected` tells that it
-    is farther from it than the language's own texts.  A model without
+    Any other text gets the nearest learned language, of equally near ones the
+    first by name; `rejected` tells that it is farther from it than the
+    language's own texts.  A model without
     languages calls everything `und`.  Null and repeated ids are kept, a row
     each.  No rows give no rows.  Other columns are not read.
     """

@@ -105,23 +105,40 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, sums)], names=["feature", "p", "u"])
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+class Rows(NamedTuple):
+    """A sparse matrix: what is in each row, and the numbers of rows and columns."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    n: int
+    width: int
+
+    def times(self, theta: np.ndarray) -> np.ndarray:
+        """The product with all but the last of theta, plus the last."""
+        return np.bincount(self.row, weights=self.value * theta[self.column], minlength=self.n) + theta[-1]
+
+    def mean(self, weights: np.ndarray) -> np.ndarray:
+        """The rows' mean by weights, each row with a last component of 1."""
+        columns = np.bincount(self.column, weights=self.value * weights[self.row], minlength=self.width)
+        return np.append(columns, weights.sum()) / self.n
+
+
+def train(p: Rows, u: Rows, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with the logistic loss."""
-    width = positive.shape[1]
+    width = p.width
     theta = np.zeros(width + 1)
     theta[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
-    add = lambda x: np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    p, u = add(positive), add(unlabelled)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        zp, zu = p @ theta, u @ theta
+        zp, zu = p.times(theta), u.times(theta)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        negative = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
+        negative = u.mean(sigmoid(zu)) - prior * p.mean(sigmoid(zp))
         if negative_risk < 0:
             gradient = -negative
         else:
-            gradient = negative - prior * (p.T @ (1 - sigmoid(zp))) / len(p)
+            gradient = negative - prior * p.mean(1 - sigmoid(zp))
         gradient[:-1] += DECAY * prior * theta[:-1]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
@@ -132,20 +149,26 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
 def learn(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """A model from rows of `docs` and `labels` where `use`, on id_col, holds.
 
-    At most `positives` texts labelled 1 and about `unlabelled` texts, whatever
-    their label, are used, chosen by a hash of the id.  `prior` is the share of
+    At most `positives` texts labelled 1 and about `unlabelled` texts, at most
+    twice as many, whatever their label, are used, chosen by a hash of id and
+    text; rows with equal id and text count once.  `prior` is the share of
     toxic texts; without it, the share among the labels.  Labels that are null,
-    or for ids that docs lacks, are left out; an id with several labels is
-    toxic if one is 1.  Without any toxic text every score is the prior.
+    or for ids that docs lacks, and rows with a null id are left out; an id
+    with several labels is toxic if one is 1.  Of features with equal scores
+    those with smaller hashes are taken.  Without any toxic text every score is
+    the prior.
     """
     own = labels.where(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
     share = own.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     prior = min(0.95, max(1e-3, share or 0.0)) if prior is None else prior
     toxic = own.where("toxic = 1").orderBy(F.xxhash64(id_col, F.lit(3)), id_col).limit(positives).select(F.col(id_col).alias("id"), F.lit(1).alias("p"))
     rows = docs.where(use & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    total = docs.count()
-    u = (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, unlabelled / max(1, total)))).cast("int")
-    sample = rows.join(F.broadcast(toxic), "id", "left").select("id", "body", F.coalesce("p", F.lit(0)).alias("p"), u.alias("u")).where("p = 1 or u = 1")
+    rows = rows.withColumn("place", F.xxhash64("id", "body", F.lit(5)))
+    share = int((1 << 30) * min(1.0, unlabelled / max(1, docs.count())))
+    some = lambda df, n: df.dropDuplicates(["id", "place"]).orderBy("place", "id").limit(n)
+    toxic = some(rows.join(F.broadcast(toxic), "id"), positives).select("id", "body", F.lit(1).alias("p"), F.lit(0).alias("u"))
+    others = some(rows.where(F.pmod("place", F.lit(1 << 30)) < share), 2 * unlabelled).select("id", "body", F.lit(0).alias("p"), F.lit(1).alias("u"))
+    sample = toxic.unionByName(others)
     sample = checkpointed(sample)
     sizes = sample.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("u"), F.lit(0))).first()
     if not sizes[0] or not sizes[1]:
@@ -173,11 +196,9 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     vectors.sort(key=lambda r: (r.id, bytes(r.found), bytes(r["values"])))
     sides = []
     for side in ("p", "u"):
-        some = [r for r in vectors if r[side]]
-        x = np.zeros((len(some), len(features)), dtype=np.float32)
-        for row, r in zip(x, some):
-            row[np.frombuffer(r.found, dtype="<u2")] = np.frombuffer(r["values"], dtype="<f4")
-        sides.append(x)
+        found = [(np.frombuffer(r.found, dtype="<u2"), np.frombuffer(r["values"], dtype="<f4")) for r in vectors if r[side]]
+        row = np.repeat(np.arange(len(found)), [len(f) for f, _ in found])
+        sides.append(Rows(row, np.concatenate([f for f, _ in found]).astype(np.int64), np.concatenate([v for _, v in found]).astype(np.float64), len(found), len(features)))
     weights, bias = train(*sides, prior)
     return Model(features, weights, bias)
 

@@ -59,6 +59,10 @@ def test_random_texts_in_any_number_of_blocks(spark, monkeypatch, block):
     a = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, n_words int, items string")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id int, text string, body int")
     assert result(D.find_windows(a, b, size=4)) == brute(docs, items, 4)
+    carried = D.find_windows(a.withColumn("c0", a["text"]), b, size=4, carry=("text", "c0", "doc_id"))
+    assert carried.columns == ["doc_id", "text", "c0", "n_words", "spans", "items"]
+    rows = carried.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(docs, key=str) and all(r.text == r.c0 and r.n_words == len(split(r.text)) for r in rows)
 
 
 def test_empty_tables_and_long_text(spark):

@@ -173,7 +173,7 @@ def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """Where documents repeat windows of benchmark items.
 
     Words are runs of ASCII letters and digits and of all characters beyond
@@ -190,23 +190,31 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("body"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("body") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}"
+    names = list(dict.fromkeys([id_col, *carry]))
+    read = list(dict.fromkeys([*names, text_col]))  # a carried text goes to Python once
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(read)))
+    body = f"c{read.index(text_col)}"
+    kinds = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(names)))
     found = f"n_words long, spans {_SPANS}, items array<string>"
+    own_names = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    texts = rows.select(F.col(body).alias("body"))
     if blocks == 1:
-        return rows.mapInArrow(_marking(rows, _block(rows, items, size), True), f"{kind}, {found}").withColumnRenamed("id", id_col)
-    named = rows.select("id", F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"), "body")
+        marked = rows.mapInArrow(_marking(rows, _block(texts, items, size), len(names), read.index(text_col)), f"{kinds}, {found}")
+        return marked.select(*own_names, "n_words", "spans", "items")
+    digest = F.sha2(F.coalesce(F.col(body), F.lit("")), 256).alias("digest")
     path = step_path(docs.sparkSession)
     for block in range(2 * blocks):  # items are dealt by hash: a block has half of the bound on average
-        index = _block(rows, items.where(F.pmod(F.xxhash64("item", "body"), F.lit(2 * blocks)) == block), size)
-        named.select("digest", "body").mapInArrow(_marking(rows, index, False), f"digest string, {found}").write.mode("append").parquet(path)
+        index = _block(texts, items.where(F.pmod(F.xxhash64("item", "body"), F.lit(2 * blocks)) == block), size)
+        hit = rows.select(digest, F.col(body).alias("body")).mapInArrow(_marking(rows, index, 1, 1), f"digest string, {found}").where(F.size("spans") > 0)
+        hit.write.mode("append").parquet(path)
     hits = docs.sparkSession.read.parquet(path).groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hits = checkpointed(hits.select("digest", _merged("spans").alias("spans"), "items"))
     if hits.count() <= BROADCAST_HITS:
         hits = F.broadcast(hits)
-    kept = named.mapInArrow(_marking(rows, index_windows([], size), True), f"{kind}, digest string, {found}").select("id", "digest", "n_words")
-    out = kept.join(hits, "digest", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    at = len(names)
+    counted = rows.select(*(f"c{i}" for i in range(at)), digest, F.col(body).alias("body")).mapInArrow(_marking(rows, index_windows([], size), at + 1, at + 1), f"{kinds}, digest string, {found}")
+    out = counted.drop("spans", "items").join(hits, "digest", "left")
+    return out.select(*own_names, "n_words", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 _SPANS = "array<struct<start: long, length: long>>"
@@ -253,8 +261,8 @@ def _counting(docs: DataFrame, index: WindowIndex):
     return run
 
 
-def _marking(docs: DataFrame, index: WindowIndex, every: bool):
-    """Rows of (names..., body) become (names..., n_words, spans, items); only those with a hit unless `every`."""
+def _marking(docs: DataFrame, index: WindowIndex, names: int, body: int):
+    """The first `names` columns of rows are kept, with n_words, spans and items of the text in column `body`."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kinds = [pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.list_(pa.string())]
 
@@ -262,14 +270,11 @@ def _marking(docs: DataFrame, index: WindowIndex, every: bool):
         index = shared.value
         bits = _lookup_bits(index.probes)
         for b in batches:
-            for part in _parts(b, b.num_columns - 1):
-                out = mark(index, bits, part)
-                if out.num_rows:
-                    yield out
+            for part in _parts(b, body):
+                yield mark(index, bits, part)
 
     def mark(index: WindowIndex, bits: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
-        names = part.num_columns - 1
-        w = words(part.column(names), SEPARATORS)
+        w = words(part.column(body), SEPARATORS)
         begin, window = occurrences(index, bits, w.hashes, w.bounds) if len(index.probes) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         spans, items = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
         text = np.searchsorted(w.bounds, begin, side="right") - 1
@@ -285,7 +290,6 @@ def _marking(docs: DataFrame, index: WindowIndex, every: bool):
             owners = np.unique(np.concatenate([index.owners[index.owned[v] : index.owned[v + 1]] for v in np.unique(window[own]).tolist()]))
             items[k] = [index.items[i] for i in owners.tolist()]
         columns = [*part.columns[:names], pa.array(np.diff(w.bounds)), pa.array(spans, kinds[0]), pa.array(items, kinds[1])]
-        out = pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:names], "n_words", "spans", "items"])
-        return out if every else out.take(pa.array(hit_texts, pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:names], "n_words", "spans", "items"])
 
     return run

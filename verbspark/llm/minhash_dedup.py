@@ -91,14 +91,17 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def _described(size: int):
+    """(id, carried..., body) becomes (id, carried..., n, digest, signature)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, digests, signatures = [], [], []
-            for own in _sets(b.column(1), size):
+            for own in _sets(b.column(b.num_columns - 1), size):
                 sizes.append(len(own))
                 digests.append(_digest(own) if len(own) else None)
                 signatures.append(signature(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "n", "digest", "signature"])
+            found = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], names=[*b.schema.names[:-1], "n", "digest", "signature"])
 
     return run
 
@@ -251,13 +254,13 @@ def _other_tiles(apart: DataFrame) -> DataFrame:
     return placed.select("centre", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, per_cent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, per_cent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups of texts linked by 100 * |A & B| >= per_cent * |A | B| over sets of `size`-word shingles.
 
     Words are runs of characters other than space and \\t..\\r, with A-Z
     folded.  Returns for each row: id_col, n_shingles, component_id (the
-    smallest id reachable by links, its own included) and kept (id_col is
-    component_id).
+    smallest id reachable by links, its own included), kept (id_col is
+    component_id) and the columns of `carry`.
 
     A text of fewer than `size` words has its whole sequence as its only
     shingle.  A null text, or one without words, has no shingles, is linked
@@ -268,7 +271,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read, whatever their names.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    described = checkpointed(texts.mapInArrow(_described(size), "id long, n long, digest binary, signature binary"))
+    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *carried, F.col(text_col).alias("body"))
+    kinds = "".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(carry)))
+    described = checkpointed(rows.mapInArrow(_described(size), f"id long, {kinds}n long, digest binary, signature binary"))
     nodes = checkpointed(
         described.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("signature").alias("signature"), F.first("n").alias("n"))
     )
@@ -300,5 +306,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = checkpointed(named.select("digest", F.coalesce("label", "node").alias("component")))
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return described.join(named, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry))
     )

@@ -9,10 +9,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import across, all_vars, any_vars, col, contains, desc, ends_with, everything, functions as f, if_all, if_any, is_numeric, join_by, pick, starts_with, where
+from . import (
+    across, all_of, all_vars, any_of, any_vars, c_across, col, common_by, contains, cur_column, desc, ends_with, everything, functions as f, group_cols, if_all, if_any, is_character, is_numeric, join_by,
+    last_col, matches, num_range, one_of, pick, span, starts_with, vars_, where,
+)
 from .frame import Frame
 from .plans.expr import Expr, named
-from .sources import read
+from .sources import band_instruments, band_instruments2, band_members, copy_to, data_type, from_rows, has_table, lst, query_fields, read, same_src, sql, tbl, tibble, tribble
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,19 +25,23 @@ class Tables:
     """The tables of a folder as frames, by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
+        self.spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> Frame:
-        return read(self._spark, f"{self._dir}/{name}.parquet")
+        return read(self.spark, f"{self._dir}/{name}.parquet")
 
+    def answers(self, **given: Any) -> Frame:
+        """Results that are no tables as rows of (name, answer)."""
+        return from_rows(self.spark, [(name, str(value)) for name, value in given.items()], "name string, answer string")
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of the tables."""
+
+def query(name: str, text: str | None = None):
+    """Registers a function of the tables, with the SQL for its rows."""
 
     def register(function: Callable[[Tables], Frame]) -> Callable[[Tables], Frame]:
         QUERIES[name] = lambda spark, sf_dir: function(Tables(spark, sf_dir)).df
-        if sql is not None:
-            SQL[name] = sql
+        if text is not None:
+            SQL[name] = text
         return function
 
     return register
@@ -103,8 +110,7 @@ def q5_local_supplier(t: Tables) -> Frame:
 
 def _all() -> None:
     """The other queries: name, function, SQL."""
-    orders_price = "round(o_totalprice, 0) AS price"
-    for name, function, sql in (
+    for name, function, text in (
         # columns
         ("select", lambda t: t.customer.select("c_name", key="c_custkey"), "SELECT c_name, c_custkey AS key FROM customer"),
         ("select_helpers", lambda t: t.part.select(starts_with("p_p") | ends_with("size"), contains("brand")), "SELECT p_partkey, p_size, p_brand FROM part"),
@@ -116,7 +122,7 @@ def _all() -> None:
         ("mutate_whole_table", lambda t: t.part.mutate(big=col("p_size") > f.mean("p_size")).select("p_partkey", "big"), "SELECT p_partkey, p_size > (SELECT avg(p_size) FROM part) AS big FROM part"),
         ("mutate_keep_used", lambda t: t.part.mutate(label=f.paste("p_brand", "p_type", sep="/"), _keep="used"), "SELECT p_brand, p_type, p_brand || '/' || p_type AS label FROM part"),
         ("transmute", lambda t: t.customer.transmute(key=col("c_custkey") + 1), "SELECT c_custkey + 1 AS key FROM customer"),
-        ("pull", lambda t: t.nation.select("n_name"), "SELECT n_name FROM nation"),
+        ("pull", lambda t: tibble(t.spark, "n_name string", n_name=t.nation.pull("n_name")), "SELECT n_name FROM nation"),
         ("pick", lambda t: t.orders.distinct(pick(contains("status"), contains("priority"))), "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
         ("across", lambda t: t.lineitem.group_by("l_returnflag").summarise(across(["l_quantity", "l_linenumber"], {"lo": f.min, "hi": f.max})), "SELECT l_returnflag, min(l_quantity) AS l_quantity_lo, max(l_quantity) AS l_quantity_hi, min(l_linenumber) AS l_linenumber_lo, max(l_linenumber) AS l_linenumber_hi FROM lineitem GROUP BY 1"),
         ("across_mutate", lambda t: t.nation.mutate(across(where(is_numeric), lambda v: v + 1)), "SELECT n_nationkey + 1 AS n_nationkey, n_name, n_regionkey + 1 AS n_regionkey FROM nation"),
@@ -131,27 +137,29 @@ def _all() -> None:
         ("when_any_all", lambda t: t.part.transmute(k=col("p_partkey"), a=f.when_any(col("p_size") > 40, col("p_type") == "ECONOMY"), e=f.when_all(col("p_size") > 40, col("p_type") == "ECONOMY")), "SELECT p_partkey AS k, p_size > 40 OR p_type = 'ECONOMY' AS a, p_size > 40 AND p_type = 'ECONOMY' AS e FROM part"),
         ("in_and_xor", lambda t: t.orders.filter(f.xor(col("o_orderstatus").isin("F"), col("o_custkey") > 700)).summarise(n=f.n()), "SELECT count(*) AS n FROM orders WHERE (o_orderstatus = 'F') <> (o_custkey > 700)"),
         # order, slices, samples
-        ("arrange", lambda t: t.orders.arrange(desc("o_totalprice"), "o_orderkey").slice_head(20).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
+        ("arrange", lambda t: t.orders.arrange(desc("o_totalprice"), "o_orderkey").group_by("o_orderstatus").mutate(place=f.row_number(), top=f.first("o_orderkey")).ungroup().select("o_orderkey", "place", "top"), "SELECT o_orderkey, row_number() OVER w AS place, first_value(o_orderkey) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey)"),
         ("slice", lambda t: events(t).slice(2, 5, _by="user_id").select("event_id"), "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) IN (2, 5)"),
         ("slice_head", lambda t: events(t).slice_head(3, _by="user_id").select("event_id"), "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3"),
         ("slice_tail", lambda t: events(t).slice_tail(prop=0.1, _by="user_id").select("event_id"), "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= floor(0.1 * count(*) OVER (PARTITION BY user_id))"),
         ("slice_min", lambda t: t.part.slice_min("p_retailprice", 2, _by="p_brand").select("p_partkey"), "SELECT p_partkey FROM part QUALIFY rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) <= 2"),
         ("slice_max", lambda t: t.orders.slice_max("o_totalprice", 15).select("o_orderkey"), "SELECT o_orderkey FROM orders QUALIFY rank() OVER (ORDER BY o_totalprice DESC) <= 15"),
         ("top_n", lambda t: t.customer.group_by("c_mktsegment").top_n(3, "c_acctbal").ungroup().select("c_custkey"), "SELECT c_custkey FROM customer QUALIFY rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) <= 3"),
-        ("slice_sample", lambda t: t.orders.slice_sample(25, _by="o_orderstatus", seed=7).count("o_orderstatus"), "SELECT o_orderstatus, least(count(*), 25) AS n FROM orders GROUP BY 1"),
-        ("slice_sample_replace", lambda t: t.nation.slice_sample(100, replace=True, seed=7).summarise(n=f.n()), "SELECT 100 AS n"),
-        ("slice_sample_weighted", lambda t: t.part.slice_sample(40, weight_by="p_size", seed=7).summarise(n=f.n()), "SELECT 40 AS n"),
-        ("sample_n_frac", lambda t: t.nation.sample_n(5, seed=1).bind_rows(t.nation.sample_frac(0.2, seed=1)).summarise(n=f.n()), "SELECT 10 AS n"),
+        ("slice_sample", lambda t: _drawn(t.orders, t.orders.slice_sample(25, _by="o_orderstatus", seed=7), "o_orderkey", "o_orderstatus"), "SELECT o_orderstatus, least(count(*), 25) AS n, least(count(*), 25) AS known FROM orders GROUP BY 1"),
+        ("slice_sample_share", lambda t: _drawn(t.events, t.events.slice_sample(prop=0.3, seed=3), "event_id"), "SELECT CAST(floor(0.3 * count(*)) AS BIGINT) AS n, CAST(floor(0.3 * count(*)) AS BIGINT) AS known FROM events"),
+        ("slice_sample_replace", lambda t: t.nation.slice_sample(1000, replace=True, seed=7).semi_join(t.nation, "n_name").summarise(n=f.n(), fair=f.n_distinct("n_name") > 20), "SELECT 1000 AS n, true AS fair"),
+        ("slice_sample_weighted", lambda t: t.part.slice_sample(40, weight_by=f.if_else(col("p_size") > 25, 1.0, 0.0), seed=7).summarise(n=f.n(), heavy=f.min("p_size") > 25, parts=f.n_distinct("p_partkey")), "SELECT 40 AS n, true AS heavy, 40 AS parts"),
+        ("sample_n_frac", lambda t: _drawn(t.nation, t.nation.sample_n(5, seed=1), "n_name").bind_rows(_drawn(t.nation, t.nation.sample_frac(0.2, seed=1), "n_name")), "SELECT 5 AS n, 5 AS known UNION ALL SELECT 5, 5"),
         ("distinct", lambda t: t.lineitem.distinct("l_returnflag", "l_linestatus"), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
         ("distinct_keep_all", lambda t: events(t).distinct("user_id", "event_type", _keep_all=True).select("event_id", "user_id", "event_type"), "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY ALL"),
         # joins
         ("inner_join", lambda t: t.orders.inner_join(t.customer, {"o_custkey": "c_custkey"}).select("o_orderkey", "c_name"), "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
         ("left_join", lambda t: t.customer.left_join(t.orders.filter(col("o_totalprice") > 400000), {"c_custkey": "o_custkey"}).select("c_custkey", "o_orderkey"), "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey"),
         ("right_join", lambda t: t.supplier.filter(col("s_acctbal") > 5000).right_join(t.nation, {"s_nationkey": "n_nationkey"}).select("s_suppkey", "s_nationkey", "n_name"), "SELECT s_suppkey, n_nationkey AS s_nationkey, n_name FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) RIGHT JOIN nation ON s_nationkey = n_nationkey"),
-        ("full_join", lambda t: t.supplier.filter(col("s_nationkey") < 12).full_join(t.nation.filter(col("n_nationkey") > 6), {"s_nationkey": "n_nationkey"}).select("s_suppkey", "s_nationkey", "n_name"), "SELECT s_suppkey, coalesce(s_nationkey, n_nationkey) AS s_nationkey, n_name FROM (SELECT * FROM supplier WHERE s_nationkey < 12) FULL JOIN (SELECT * FROM nation WHERE n_nationkey > 6) ON s_nationkey = n_nationkey"),
+        ("full_join", lambda t: t.supplier.mutate(k=col("s_nationkey") * 2).full_join(t.nation, {"k": "n_nationkey"}).select("s_suppkey", "k", "n_name"), "SELECT s_suppkey, coalesce(s_nationkey * 2, n_nationkey) AS k, n_name FROM supplier FULL JOIN nation ON s_nationkey * 2 = n_nationkey"),
         ("semi_join", lambda t: t.customer.semi_join(t.orders, {"c_custkey": "o_custkey"}).select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
         ("anti_join", lambda t: t.customer.anti_join(t.orders, {"c_custkey": "o_custkey"}).select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-        ("nest_join", lambda t: t.nation.nest_join(t.supplier, {"n_nationkey": "s_nationkey"}, name="suppliers").transmute(n_nationkey=col("n_nationkey"), n=f.fn("size", "suppliers")), "SELECT n_nationkey, CAST(count(s_suppkey) AS INTEGER) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1"),
+        ("nest_join", lambda t: t.nation.nest_join(t.supplier.select("s_suppkey", "s_nationkey"), {"n_nationkey": "s_nationkey"}, name="suppliers").unnest("suppliers").select("n_nationkey", "s_suppkey"), "SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey"),
+        ("nest_join_sizes", lambda t: t.nation.nest_join(t.supplier, {"n_nationkey": "s_nationkey"}, name="suppliers").transmute(n_nationkey=col("n_nationkey"), n=f.fn("size", "suppliers")), "SELECT n_nationkey, CAST(count(s_suppkey) AS INTEGER) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1"),
         ("cross_join", lambda t: t.nation.cross_join(t.region).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation CROSS JOIN region"),
         ("join_missing_keys", lambda t: t.nation.mutate(k=f.na_if("n_regionkey", 0)).inner_join(t.region.mutate(k=f.na_if("r_regionkey", 0)), "k").select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON nullif(n_regionkey, 0) IS NOT DISTINCT FROM nullif(r_regionkey, 0)"),
         ("join_missing_never", lambda t: t.nation.mutate(k=f.na_if("n_regionkey", 0)).inner_join(t.region.mutate(k=f.na_if("r_regionkey", 0)), "k", na_matches="never").select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON nullif(n_regionkey, 0) = nullif(r_regionkey, 0)"),
@@ -168,11 +176,12 @@ def _all() -> None:
         ("group_size", lambda t: t.part.group_by("p_brand").group_data().transmute(p_brand=col("p_brand"), n=f.fn("size", ".rows")), "SELECT p_brand, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1"),
         ("group_indices", lambda t: t.orders.group_by("o_orderpriority").mutate(g=f.cur_group_id()).ungroup().select("o_orderkey", "g"), "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) AS g FROM orders"),
         ("group_nest", lambda t: t.nation.group_nest("n_regionkey").unnest("data"), "SELECT n_regionkey, n_nationkey, n_name FROM nation"),
-        ("nest_by", lambda t: t.nation.nest_by("n_regionkey").ungroup().transmute(n_regionkey=col("n_regionkey"), n=f.fn("size", "data")), "SELECT n_regionkey, CAST(count(*) AS INTEGER) AS n FROM nation GROUP BY 1"),
+        ("nest_by", lambda t: t.nation.nest_by("n_regionkey").ungroup().unnest("data"), "SELECT n_regionkey, n_nationkey, n_name FROM nation"),
         ("group_modify", lambda t: t.supplier.group_by("s_nationkey").group_modify(lambda d, key: d.nlargest(1, ["s_acctbal", "s_suppkey"])[["s_suppkey"]], "s_suppkey long").ungroup(), "SELECT s_nationkey, s_suppkey FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) = 1"),
         ("with_groups", lambda t: t.part.with_groups("p_type", lambda g: g.summarise(n=f.n())), "SELECT p_type, count(*) AS n FROM part GROUP BY 1"),
         ("rowwise", lambda t: t.part.rowwise("p_partkey").summarise(m=f.row_sums("p_size", "p_partkey")).ungroup(), "SELECT p_partkey, p_size + p_partkey AS m FROM part"),
-        ("c_across", lambda t: t.nation.rowwise().mutate(top=f.fn("array_max", f.c_array("n_nationkey", "n_regionkey"))).ungroup().select("n_name", "top"), "SELECT n_name, greatest(n_nationkey, n_regionkey) AS top FROM nation"),
+        ("c_across", lambda t: t.nation.rowwise("n_name").mutate(top=f.fn("array_max", c_across(where(is_numeric)))).ungroup().select("n_name", "top"), "SELECT n_name, greatest(n_nationkey, n_regionkey) AS top FROM nation"),
+        ("c_array", lambda t: t.nation.mutate(top=f.fn("array_max", f.c_array("n_nationkey", "n_regionkey"))).select("n_name", "top"), "SELECT n_name, greatest(n_nationkey, n_regionkey) AS top FROM nation"),
         # aggregates
         ("summarise", lambda t: t.orders.group_by("o_orderstatus").summarise(n=f.n(), lo=f.min("o_totalprice"), hi=f.max("o_totalprice"), m=rounded(f.mean("o_totalprice"))), "SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 2) AS m FROM orders GROUP BY 1"),
         ("summarise_by", lambda t: t.part.summarise(n=f.n(), size=f.sum("p_size"), _by=["p_brand", "p_type"]), "SELECT p_brand, p_type, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY ALL"),
@@ -190,7 +199,7 @@ def _all() -> None:
         ("count_empty_levels", lambda t: _leveled(t).count("event_type", _drop=False), "SELECT l.event_type, count(e.event_id) AS n FROM (SELECT unnest(['click', 'error', 'none', 'view']) AS event_type) l LEFT JOIN (SELECT * FROM events WHERE event_type IN ('click', 'error', 'view')) e USING (event_type) GROUP BY 1"),
         ("reframe", lambda t: t.part.reframe(q=f.c_array(f.min("p_size"), f.max("p_size")), k=f.c_array(0, 1), _by="p_brand"), "SELECT p_brand, min(p_size) AS q, 0 AS k FROM part GROUP BY 1 UNION ALL SELECT p_brand, max(p_size), 1 FROM part GROUP BY 1"),
         ("reframe_which", lambda t: events(t).group_by("user_id").reframe(place=f.which(col("event_type") == "error")), "SELECT user_id, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE event_type = 'error'"),
-        ("approx_n_distinct", lambda t: t.lineitem.group_by("l_returnflag").summarise(k=f.approx_n_distinct("l_orderkey")), None),
+        ("approx_n_distinct", lambda t: t.lineitem.group_by("l_returnflag").summarise(k=f.approx_n_distinct("l_orderkey"), e=f.n_distinct("l_orderkey")).transmute(l_returnflag=col("l_returnflag"), near=f.between(col("k") / col("e"), 0.8, 1.2)), "SELECT DISTINCT l_returnflag, true AS near FROM lineitem"),
         ("cube", lambda t: t.orders.cube("o_orderstatus", "o_orderpriority", n=f.n()), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
         ("rollup", lambda t: t.orders.rollup("o_orderstatus", "o_orderpriority", n=f.n()), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
         # windows
@@ -210,7 +219,7 @@ def _all() -> None:
         ("setdiff", lambda t: t.customer.select(k="c_custkey").setdiff(t.orders.select(k="o_custkey")), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
         ("symdiff", lambda t: t.part.select(k="p_size").symdiff(t.nation.select(k="n_nationkey")), "(SELECT p_size AS k FROM part EXCEPT SELECT n_nationkey FROM nation) UNION (SELECT n_nationkey FROM nation EXCEPT SELECT p_size FROM part)"),
         ("bind_rows", lambda t: t.nation.select("n_name").bind_rows(t.region.select("r_name"), _id="source"), "SELECT '1' AS source, n_name, NULL AS r_name FROM nation UNION ALL SELECT '2', NULL, r_name FROM region"),
-        ("bind_cols", lambda t: t.region.arrange("r_regionkey").bind_cols(t.nation.filter(col("n_nationkey") < 5).arrange("n_nationkey")).select("r_name", "n_name"), "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_nationkey"),
+        ("bind_cols", lambda t: t.nation.arrange("n_nationkey").select("n_name").bind_cols(t.nation.arrange(desc("n_nationkey")).select(other="n_name")), "SELECT n_name, other FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) JOIN (SELECT n_name AS other, row_number() OVER (ORDER BY n_nationkey DESC) AS r FROM nation) USING (r)"),
         # changes by key
         ("rows_insert", lambda t: t.nation.rows_insert(_changes(t), "n_nationkey", conflict="ignore"), "SELECT * FROM nation UNION ALL SELECT 30, 'NEW', 0"),
         ("rows_append", lambda t: t.nation.rows_append(_changes(t)), "SELECT * FROM nation UNION ALL SELECT n_nationkey, 'NEW', 0 FROM (SELECT unnest([1, 30]) AS n_nationkey)"),
@@ -239,12 +248,102 @@ def _all() -> None:
         ("select_if", lambda t: t.nation.select_if(is_numeric, str.upper), "SELECT n_nationkey AS N_NATIONKEY, n_regionkey AS N_REGIONKEY FROM nation"),
         ("distinct_at", lambda t: t.part.distinct_at(["p_brand"]), "SELECT DISTINCT p_brand FROM part"),
         ("group_by_at", lambda t: t.part.group_by_at(["p_brand"]).tally(), "SELECT p_brand, count(*) AS n FROM part GROUP BY 1"),
-        ("arrange_all", lambda t: t.region.arrange_all().slice_head(3), "SELECT * FROM region ORDER BY ALL LIMIT 3"),
+        ("arrange_all", lambda t: t.region.arrange_all().mutate(place=f.row_number()), "SELECT *, row_number() OVER (ORDER BY r_regionkey, r_name) AS place FROM region"),
         ("pandas_aggregate", lambda t: t.part.group_by("p_type").summarise(v=f.pandas_agg(lambda s: float(s.max() - s.min()), "double", "p_size")), "SELECT p_type, CAST(max(p_size) - min(p_size) AS DOUBLE) AS v FROM part GROUP BY 1"),
-        ("everything", lambda t: t.region.select("r_name", everything()), "SELECT r_name, r_regionkey FROM region"),
-        ("orders_price", lambda t: t.orders.transmute(o_orderkey=col("o_orderkey"), price=rounded("o_totalprice", 0)), f"SELECT o_orderkey, {orders_price} FROM orders"),
+        ("everything", lambda t: t.supplier.select("s_nationkey", everything()).select(1, last_col()).rename_with(str.upper, everything()), "SELECT s_nationkey AS S_NATIONKEY, s_acctbal AS S_ACCTBAL FROM supplier"),
+        # where tables come from
+        ("tbl_sql", lambda t: tbl(t.spark, sql("SELECT 1 AS a, 'x' AS b UNION ALL SELECT 2, NULL")).filter(~col("b").is_na()), "SELECT 1 AS a, 'x' AS b"),
+        ("copy_to", lambda t: copy_to(t.spark, t.region, "verbspark_region", overwrite=True).bind_rows(tbl(t.spark, "verbspark_region")).count("r_name"), "SELECT r_name, 2 AS n FROM region"),
+        ("catalog_reads", lambda t: t.answers(has=has_table(copy_to(t.spark, t.region, "verbspark_region", overwrite=True).session, "verbspark_region"), lacks=has_table(t.spark, "verbspark_no_such"), fields=",".join(query_fields(t.spark, sql("SELECT 1 AS a, 2 AS b"))), types=data_type(t.region.select(k="r_name"))["k"], same=same_src(t.region, t.nation)), "SELECT unnest(['has', 'lacks', 'fields', 'types', 'same']) AS name, unnest(['True', 'False', 'a,b', 'string', 'True']) AS answer"),
+        ("compute", lambda t: t.part.filter(col("p_size") > 30).compute().collapse().count("p_brand"), "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 30 GROUP BY 1"),
+        ("collect", lambda t: from_rows(t.spark, [tuple(r) for r in t.nation.collect()], t.nation.schema), "SELECT * FROM nation"),
+        ("tribble_add_row", lambda t: tribble(t.spark, "a int, b string", 1, "x", 2, "y").add_row(a=3), "SELECT unnest([1, 2, 3]) AS a, unnest(['x', 'y', NULL]) AS b"),
+        ("tibble_lst", lambda t: tibble(t.spark, "a int, b int", **lst(a=[1, 2, 3], b=lambda own: [len(own["a"])])), "SELECT unnest([1, 2, 3]) AS a, 3 AS b"),
+        ("band_members", lambda t: band_members(t.spark).full_join(band_instruments(t.spark), "name").union(band_members(t.spark).full_join(band_instruments2(t.spark), {"name": "artist"})), "SELECT unnest(['Mick', 'John', 'Paul', 'Keith']) AS name, unnest(['Stones', 'Beatles', 'Beatles', NULL]) AS band, unnest([NULL, 'guitar', 'bass', 'guitar']) AS plays"),
+        ("descriptions", lambda t: t.answers(dim=t.nation.dim_desc(), types=",".join(t.nation.type_sum().values()), vars=",".join(t.nation.group_by("n_regionkey").tbl_nongroup_vars()), all=",".join(t.nation.tbl_vars()), empty=t.nation.tbl_ptype().count(), glimpse=t.region.select("r_name").glimpse(1).splitlines()[0], plan="Relation" in t.region.show_query()), "SELECT unnest(['dim', 'types', 'vars', 'all', 'empty', 'glimpse', 'plan']) AS name, unnest(['[25 x 3]', 'int,chr,int', 'n_nationkey,n_name', 'n_nationkey,n_name,n_regionkey', '0', 'Columns: 1', 'True']) AS answer"),
+        # selections
+        ("select_by_names", lambda t: t.part.select(all_of(["p_size"]), any_of(["p_type", "p_none"]), one_of(["p_brand"]), span("p_partkey", "p_name")), "SELECT p_size, p_type, p_brand, p_partkey, p_name FROM part"),
+        ("select_by_pattern", lambda t: t.nation.rename(n_1="n_nationkey", n_2="n_regionkey").select(num_range("n_", [1, 2]), matches("^n_na"), ends_with("zzz")), "SELECT n_nationkey AS n_1, n_regionkey AS n_2, n_name FROM nation"),
+        ("group_cols", lambda t: t.part.group_by("p_brand").select(group_cols(), "p_size").ungroup(), "SELECT p_brand, p_size FROM part"),
+        ("cur_column", lambda t: t.nation.mutate(across(["n_nationkey", "n_regionkey"], lambda v: f.paste(cur_column(), v, sep="="))), "SELECT 'n_nationkey=' || n_nationkey AS n_nationkey, n_name, 'n_regionkey=' || n_regionkey AS n_regionkey FROM nation"),
+        # more of joins
+        ("join_without_columns", lambda t: t.nation.select("n_name").cross_join(t.region.select("r_name")).semi_join(t.nation.select("n_name"), []), "SELECT n_name, r_name FROM nation CROSS JOIN region"),
+        ("common_by", lambda t: t.answers(**{a: b for a, b in common_by({"n_regionkey": "r_regionkey"}, t.nation, t.region).items()}, **common_by(None, t.nation, t.nation.select("n_name"))), "SELECT unnest(['n_regionkey', 'n_name']) AS name, unnest(['r_regionkey', 'n_name']) AS answer"),
+        ("join_missing_inequality", lambda t: t.nation.mutate(k=f.na_if("n_regionkey", 1)).inner_join(t.region.mutate(j=f.na_if("r_regionkey", 2)), join_by("k >= j")).select("n_name", "r_name"), "SELECT n_name, r_name FROM (SELECT *, nullif(n_regionkey, 1) AS k FROM nation) JOIN (SELECT *, nullif(r_regionkey, 2) AS j FROM region) ON k >= j OR (k IS NULL AND j IS NULL)"),
+        ("join_missing_inequality_never", lambda t: t.nation.mutate(k=f.na_if("n_regionkey", 1)).inner_join(t.region.mutate(j=f.na_if("r_regionkey", 2)), join_by("k >= j"), na_matches="never").select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON nullif(n_regionkey, 1) >= nullif(r_regionkey, 2)"),
+        ("join_keep", lambda t: t.nation.left_join(t.region.filter(col("r_name") != "ASIA"), {"n_regionkey": "r_regionkey"}, keep=True).select("n_name", "n_regionkey", "r_regionkey"), "SELECT n_name, n_regionkey, r_regionkey FROM nation LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey"),
+        ("join_suffix", lambda t: t.nation.select(k="n_regionkey", name="n_name").inner_join(t.region.select(k="r_regionkey", name="r_name"), "k", suffix=("_nation", "_region")), "SELECT n_regionkey AS k, n_name AS name_nation, r_name AS name_region FROM nation JOIN region ON n_regionkey = r_regionkey"),
+        ("join_key_type", lambda t: t.nation.mutate(k=col("n_regionkey").cast("int")).full_join(t.region.mutate(k=col("r_regionkey") + 0.5), "k").select("k", "n_name", "r_name"), "SELECT coalesce(CAST(n_regionkey AS DOUBLE), r_regionkey + 0.5) AS k, n_name, r_name FROM nation FULL JOIN region ON CAST(n_regionkey AS DOUBLE) = r_regionkey + 0.5"),
+        ("join_grouped", lambda t: t.nation.group_by("n_regionkey").inner_join(t.supplier, {"n_nationkey": "s_nationkey"}).summarise(n=f.n()), "SELECT n_regionkey, count(*) AS n FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1"),
+        ("join_last_match", lambda t: t.customer.left_join(t.orders.arrange("o_orderkey"), {"c_custkey": "o_custkey"}, multiple="last").select("c_custkey", "o_orderkey"), "SELECT c_custkey, max(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+        ("join_closest_alone", lambda t: _purchases(t).mutate(v=col("event_id") * 3).left_join(_views(t).select("view_id"), join_by("closest(v >= view_id)")).select("event_id", "view_id"), "SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.event_id * 3 >= v.event_id"),
+        ("join_closest_alone_after", lambda t: _purchases(t).left_join(_views(t).select("view_id"), join_by("closest(event_id < view_id)")).select("event_id", "view_id"), "SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.event_id < v.event_id"),
+        ("join_refused", lambda t: t.answers(many=_refused(lambda: t.orders.inner_join(t.customer, {"o_custkey": "c_custkey"}, relationship="one-to-one")), kinds=_refused(lambda: t.nation.inner_join(t.region, {"n_name": "r_regionkey"})), twice=_refused(lambda: t.nation.inner_join(t.region, join_by("n_regionkey == r_regionkey", "n_regionkey == r_name"))), unknown=_refused(lambda: t.nation.inner_join(t.region, "nope")), one=_refused(lambda: t.orders.inner_join(t.customer, {"o_custkey": "c_custkey"}, relationship="many-to-one"))), "SELECT unnest(['many', 'kinds', 'twice', 'unknown', 'one']) AS name, unnest(['ValueError', 'TypeError', 'ValueError', 'KeyError', 'None']) AS answer"),
+        # more of groups
+        ("group_counts", lambda t: t.answers(n=t.part.group_by("p_brand").n_groups(), vars=",".join(t.part.group_by("p_brand", "p_type").group_vars()), drop=t.part.group_by("p_brand", _drop=False).group_by_drop_default(), sizes=sum(t.nation.group_by("n_regionkey").group_size()), rows=len(t.nation.group_by("n_regionkey").group_rows())), "SELECT unnest(['n', 'vars', 'drop', 'sizes', 'rows']) AS name, unnest([(SELECT count(DISTINCT p_brand)::VARCHAR FROM part), 'p_brand,p_type', 'False', (SELECT count(*)::VARCHAR FROM nation), (SELECT count(DISTINCT n_regionkey)::VARCHAR FROM nation)]) AS answer"),
+        ("group_trim", lambda t: _leveled(t).group_by("event_type", _drop=False).group_trim().count("event_type", _drop=False), "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY 1"),
+        ("count_empty_levels_nested", lambda t: _leveled(t).mutate(part=f.if_else(col("event_id") % 2 == 0, "even", "odd")).factor("part", ["even", "none", "odd"]).count("event_type", "part", _drop=False), "SELECT l.event_type, p.part, count(e.event_id) AS n FROM (SELECT unnest(['click', 'error', 'none', 'view']) AS event_type) l CROSS JOIN (SELECT unnest(['even', 'none', 'odd']) AS part) p LEFT JOIN (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS part FROM events) e ON l.event_type = e.event_type AND p.part = e.part GROUP BY ALL"),
+        ("group_split", lambda t: (lambda parts: parts[0].bind_rows(*parts[1:], _id="part"))(t.nation.group_split("n_regionkey")), "SELECT CAST(n_regionkey + 1 AS VARCHAR) AS part, n_nationkey, n_name, n_regionkey FROM nation"),
+        ("group_map", lambda t: from_rows(t.spark, t.nation.group_by("n_regionkey").group_map(lambda part, key: (key[0], part.df.count())), "n_regionkey long, n long"), "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1"),
+        ("group_walk", lambda t: (lambda seen: t.region.group_by("r_name").group_walk(lambda part, key: seen.append(key[0])).ungroup().mutate(seen=len(seen)))([]), "SELECT *, 5 AS seen FROM region"),
+        ("do", lambda t: t.part.group_by("p_type").do(lambda d, key: d.head(1)[["p_size"]].assign(p_size=len(d)), "p_size long").ungroup(), "SELECT p_type, count(*) AS p_size FROM part GROUP BY 1"),
+        ("cur_group", lambda t: t.nation.group_by("n_regionkey").mutate(key=f.fn("to_json", f.cur_group()), row=f.cur_group_rows()).ungroup().select("n_name", "key", "row"), "SELECT n_name, '{\"n_regionkey\":' || n_regionkey || '}' AS key, row_number() OVER (ORDER BY n_nationkey) AS row FROM nation"),
+        ("rowwise_summarise", lambda t: t.part.rowwise("p_partkey").summarise(m=f.mean(f.row_means("p_size", "p_retailprice")), s=f.sum("p_size")).ungroup().mutate(m=rounded("m", 4)), "SELECT p_partkey, round((p_size + p_retailprice) / 2.0, 4) AS m, p_size AS s FROM part"),
+        ("set_grouped", lambda t: t.nation.group_by("n_regionkey").union(t.nation.filter(col("n_nationkey") > 3)).summarise(n=f.n()), "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1"),
+        # more of aggregates and windows
+        ("reframe_unique", lambda t: events(t).reframe(kind=f.unique("event_type"), _by="user_id"), "SELECT DISTINCT user_id, event_type AS kind FROM events"),
+        ("reframe_range", lambda t: t.part.reframe(ends=f.range("p_size"), _by="p_brand"), "SELECT p_brand, min(p_size) AS ends FROM part GROUP BY 1 UNION ALL SELECT p_brand, max(p_size) FROM part GROUP BY 1"),
+        ("ranks_of_several_keys", lambda t: t.part.group_by("p_brand").mutate(a=f.min_rank("p_size", desc("p_retailprice")), b=f.row_number("p_type", "p_partkey")).ungroup().select("p_partkey", "a", "b"), "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice DESC) AS a, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_partkey) AS b FROM part"),
+        ("cumprod", lambda t: t.supplier.arrange("s_suppkey").group_by("s_nationkey").mutate(p=rounded(f.cumprod(col("s_acctbal") / 10000 + 1), 6)).ungroup().select("s_suppkey", "p"), "SELECT s_suppkey, round(product(s_acctbal / 10000 + 1) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 6) AS p FROM supplier"),
+        ("order_by", lambda t: t.events.group_by("user_id").mutate(s=f.order_by(desc("event_id"), f.cumsum("event_id")), b=f.order_by("event_id", f.lag("event_id"))).ungroup().select("event_id", "s", "b"), "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS BIGINT) AS s, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events"),
+        ("ends_after_descending", lambda t: t.orders.arrange("o_orderpriority", desc("o_orderstatus"), desc("o_orderdate"), "o_orderkey").group_by("o_custkey").summarise(a=f.first("o_orderkey"), b=f.last("o_orderkey")), "SELECT o_custkey, arg_min(o_orderkey, r) AS a, arg_max(o_orderkey, r) AS b FROM (SELECT *, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus DESC, o_orderdate DESC, o_orderkey) AS r FROM orders) GROUP BY 1"),
+        ("top_frac", lambda t: t.customer.group_by("c_mktsegment").top_frac(0.1, "c_acctbal").ungroup().select("c_custkey"), "SELECT c_custkey FROM customer QUALIFY rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) <= floor(0.1 * count(*) OVER (PARTITION BY c_mktsegment))"),
+        # more of sets and functions
+        ("set_tests", lambda t: t.answers(same=t.nation.setequal(t.nation.bind_rows(t.nation)), often=t.nation.all_equal(t.nation.bind_rows(t.nation)), order=t.nation.all_equal(t.nation.arrange(desc("n_name"))), other=_refused(lambda: t.nation.union(t.region)), kinds=_refused(lambda: t.region.select(k="r_name").union(t.region.select(k="r_regionkey")))), "SELECT unnest(['same', 'often', 'order', 'other', 'kinds']) AS name, unnest(['True', 'False', 'True', 'ValueError', 'TypeError']) AS answer"),
+        ("mathematics", lambda t: t.part.transmute(p_partkey=col("p_partkey"), s=rounded(f.sqrt("p_size"), 6), n=rounded(f.log("p_size"), 6), a=f.abs(col("p_size") - 25), w=f.floor("p_retailprice")), "SELECT p_partkey, round(sqrt(p_size), 6) AS s, round(ln(p_size), 6) AS n, abs(p_size - 25) AS a, CAST(floor(p_retailprice) AS BIGINT) AS w FROM part"),
+        ("as_date", lambda t: t.orders.transmute(o_orderkey=col("o_orderkey"), d=f.as_date("o_orderdate")), "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders"),
+        ("row_means", lambda t: t.part.transmute(p_partkey=col("p_partkey"), m=f.row_means("p_size", "p_partkey"), s=f.row_sums("p_size", f.na_if("p_size", 1), na_rm=True)), "SELECT p_partkey, (p_size + p_partkey) / 2.0 AS m, p_size + coalesce(nullif(p_size, 1), 0) AS s FROM part"),
+        ("recode_factor", lambda t: t.events.recode_factor("event_type", {"view": "seen", "click": "used"}, default="other").count("event_type", _drop=False), "SELECT CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'used' ELSE 'other' END AS event_type, count(*) AS n FROM events GROUP BY 1"),
+        # the other scoped forms
+        ("mutate_all", lambda t: t.nation.select("n_nationkey", "n_regionkey").mutate_all(lambda v: v + 1), "SELECT n_nationkey + 1 AS n_nationkey, n_regionkey + 1 AS n_regionkey FROM nation"),
+        ("mutate_at", lambda t: t.nation.mutate_at(vars_("n_regionkey"), {"twice": lambda v: v * 2}), "SELECT *, n_regionkey * 2 AS twice FROM nation"),
+        ("transmute_all", lambda t: t.nation.select("n_nationkey", "n_regionkey").transmute_all(lambda v: -v), "SELECT -n_nationkey AS n_nationkey, -n_regionkey AS n_regionkey FROM nation"),
+        ("transmute_if", lambda t: t.nation.transmute_if(is_numeric, lambda v: v * 10), "SELECT n_nationkey * 10 AS n_nationkey, n_regionkey * 10 AS n_regionkey FROM nation"),
+        ("transmute_at", lambda t: t.nation.transmute_at(["n_nationkey"], lambda v: v + 100), "SELECT n_nationkey + 100 AS n_nationkey FROM nation"),
+        ("summarise_all", lambda t: t.part.select("p_brand", "p_size", "p_retailprice").group_by("p_brand").summarise_all(f.max), "SELECT p_brand, max(p_size) AS p_size, max(p_retailprice) AS p_retailprice FROM part GROUP BY 1"),
+        ("summarise_if", lambda t: t.part.group_by("p_brand").summarise_if(is_character, f.n_distinct), "SELECT p_brand, count(DISTINCT p_name) AS p_name, count(DISTINCT p_type) AS p_type FROM part GROUP BY 1"),
+        ("filter_if", lambda t: t.nation.filter_if(is_numeric, any_vars(lambda v: v == 3)), "SELECT * FROM nation WHERE n_nationkey = 3 OR n_regionkey = 3"),
+        ("arrange_if", lambda t: t.region.arrange_if(is_character, desc).mutate(place=f.row_number()), "SELECT *, row_number() OVER (ORDER BY r_name DESC) AS place FROM region"),
+        ("arrange_at", lambda t: t.nation.arrange_at(["n_regionkey", "n_nationkey"]).mutate(place=f.row_number()), "SELECT *, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS place FROM nation"),
+        ("distinct_all", lambda t: t.part.select("p_brand", "p_type").distinct_all(), "SELECT DISTINCT p_brand, p_type FROM part"),
+        ("distinct_if", lambda t: t.nation.select("n_name", "n_regionkey").distinct_if(is_numeric), "SELECT DISTINCT n_regionkey FROM nation"),
+        ("group_by_all", lambda t: t.part.select("p_brand", "p_type").group_by_all().tally(), "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL"),
+        ("group_by_if", lambda t: t.part.select("p_brand", "p_size").group_by_if(is_character).tally(), "SELECT p_brand, count(*) AS n FROM part GROUP BY 1"),
+        ("select_all", lambda t: t.region.select_all(str.upper), "SELECT r_regionkey AS R_REGIONKEY, r_name AS R_NAME FROM region"),
+        ("select_at", lambda t: t.nation.select_at(["n_name"], lambda n: n[2:]), "SELECT n_name AS name FROM nation"),
+        ("rename_all", lambda t: t.region.rename_all(lambda n: n[2:]), "SELECT r_regionkey AS regionkey, r_name AS name FROM region"),
+        ("rename_if", lambda t: t.nation.rename_if(is_numeric, str.upper), "SELECT n_nationkey AS N_NATIONKEY, n_name, n_regionkey AS N_REGIONKEY FROM nation"),
+        ("rename_at", lambda t: t.nation.rename_at(["n_name"], str.title), "SELECT n_nationkey, n_name AS N_Name, n_regionkey FROM nation"),
     ):
-        query(name, sql)(function)
+        query(name, text)(function)
+
+
+def _drawn(table: Frame, sample: Frame, key: str, *by: str) -> Frame:
+    """How many rows a sample has, and how many different ones of them the table has."""
+    counts = sample.summarise(n=f.n(), _by=list(by)) if by else sample.summarise(n=f.n())
+    known = sample.distinct(key, *by).semi_join(table, [key, *by])
+    if not by:
+        return counts.bind_cols(known.summarise(known=f.n()))
+    return counts.left_join(known.summarise(known=f.n(), _by=list(by)), list(by))
+
+
+def _refused(attempt: Callable[[], Any]) -> str:
+    """The kind of error that something raises."""
+    try:
+        attempt()
+    except (ValueError, TypeError, KeyError) as e:
+        return type(e).__name__
+    return "None"
 
 
 def desc_value() -> Expr:

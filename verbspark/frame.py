@@ -143,6 +143,13 @@ class Frame(ColumnVerbs, RowVerbs, GroupVerbs, SummaryVerbs, JoinVerbs, SetVerbs
         lines += [f"$ {f.name} <{f.dataType.simpleString()}> {', '.join(str(r[f.name]) for r in head)}" for f in self.fields]
         return "\n".join(lines)
 
+    def type_sum(self) -> dict[str, str]:
+        """A short name of each column's type, levels and arrays included."""
+        short = {"string": "chr", "bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "dbl", "float": "dbl", "boolean": "lgl", "date": "date", "timestamp": "dttm", "timestamp_ntz": "dttm", "binary": "raw"}
+        kinds = {f.name: f.dataType for f in self.fields}
+        named = {n: "list" if isinstance(k, (T.ArrayType, T.MapType)) else "tibble" if isinstance(k, T.StructType) else short.get(k.simpleString(), k.simpleString()) for n, k in kinds.items()}
+        return {f.name: ("ord" if f.metadata.get("ordered") else "fct") if f.metadata.get("levels") else named[f.name] for f in self.fields}
+
     def dim_desc(self) -> str:
         return f"[{self._df.count():,} x {len(self.columns):,}]"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.expr import AGG, Expr, as_expr, named
 from .windows import dense_rank, row_number
 
-__all__ = ["n", "sum", "mean", "median", "sd", "var", "min", "max", "any", "all", "prod", "quantile", "iqr", "mad", "n_distinct", "first", "last", "nth", "approx_n_distinct", "pandas_agg", "values", "which", "unique"]
+__all__ = ["n", "sum", "mean", "median", "sd", "var", "min", "max", "any", "all", "prod", "quantile", "iqr", "mad", "n_distinct", "first", "last", "nth", "approx_n_distinct", "pandas_agg", "values", "which", "unique", "range"]
 
 
 def _guarded(label: str, x: Any, na_rm: bool, function: Callable[[Column], Column], empty: Any = None, scalar: Callable[..., Column] | None = None) -> Expr:
@@ -65,6 +65,11 @@ def max(x: Any, na_rm: bool = False) -> Expr:  # noqa: A001
     return _guarded("max", x, na_rm, F.max)
 
 
+def range(x: Any, na_rm: bool = False) -> Expr:  # noqa: A001
+    """The smallest and the largest value, as an array for reframe()."""
+    return Expr("range", (min(x, na_rm), max(x, na_rm)), lambda c, low, high: F.array(low, high))
+
+
 def prod(x: Any, na_rm: bool = False) -> Expr:
     return _guarded("prod", x, na_rm, F.product, empty=1.0)
 
@@ -137,7 +142,9 @@ def _end(label: str, function: Callable, x: Any, order_by: Any, default: Any, na
             value = F.when(c.over(F.count(wanted)) > 0, value).otherwise(c.over(F.first(more[-1])).cast(c.type_of(v)))
         return value
 
-    return Expr(label, children, build, AGG, lambda c, v, *more: v)
+    out = Expr(label, children, build, AGG, lambda c, v, *more: v)
+    out.reordered = lambda by: _end(label, function, x, by, default, na_rm)
+    return out
 
 
 def first(x: Any, order_by: Any = None, default: Any = None, na_rm: bool = False) -> Expr:

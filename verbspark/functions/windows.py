@@ -14,7 +14,7 @@ from ..plans.expr import WIN, Desc, Expr, as_expr, named, quoted
 
 __all__ = [
     "row_number", "min_rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "lag", "lead", "cumsum", "cummin", "cummax", "cumprod", "cummean", "cumall", "cumany",
-    "consecutive_id", "with_order", "cur_group_id", "cur_group", "cur_group_rows",
+    "consecutive_id", "with_order", "order_by", "cur_group_id", "cur_group", "cur_group_rows",
 ]
 
 
@@ -101,7 +101,9 @@ def _shifted(label: str, function: Callable, x: Any, places: int, default: Any,
         inside = function(F.lit(True), places).over(spec)
         return F.when(inside, value).otherwise(more[-1].cast(c.type_of(v)))
 
-    return Expr(label, [named(x), *order, *fill], build, WIN)
+    out = Expr(label, [named(x), *order, *fill], build, WIN)
+    out.reordered = lambda by: _shifted(label, function, x, places, default, by)
+    return out
 
 
 def lag(x: Any, places: int = 1, default: Any = None, order_by: Any = None) -> Expr:
@@ -123,7 +125,9 @@ def _running(label: str, x: Any, order_by: Any, value: Callable[..., Column]) ->
         over = lambda a: a.over(spec)
         return value(v, over, over(F.count(v)) == over(F.count(F.lit(1))))
 
-    return Expr(label, [named(x), *order], build, WIN, lambda c, v, *more: v)
+    out = Expr(label, [named(x), *order], build, WIN, lambda c, v, *more: v)
+    out.reordered = lambda by: _running(label, x, by, value)
+    return out
 
 
 def cumsum(x: Any, order_by: Any = None) -> Expr:
@@ -167,7 +171,9 @@ def consecutive_id(*xs: Any, order_by: Any = None) -> Expr:
         return F.when(before.isNotNull() & row.eqNullSafe(before), 0).otherwise(1)
 
     flag = Expr("changed", [*(named(x) for x in xs), *order], changed, WIN)
-    return _running("consecutive_id", flag, order_by, lambda v, over, known: over(F.sum(v)))
+    out = _running("consecutive_id", flag, order_by, lambda v, over, known: over(F.sum(v)))
+    out.reordered = lambda by: consecutive_id(*xs, order_by=by)
+    return out
 
 
 def with_order(order_by: Any, function: Callable[..., Expr], x: Any, **more: Any) -> Expr:
@@ -175,6 +181,28 @@ def with_order(order_by: Any, function: Callable[..., Expr], x: Any, **more: Any
     return function(x, order_by=order_by, **more)
 
 
+def order_by(key: Any, call: Expr) -> Expr:
+    """The same window function over rows in the order of a key."""
+    if getattr(call, "reordered", None) is None:
+        raise TypeError(f"{call!r} does not depend on the order of rows")
+    return call.reordered(key)
+
+
+def _numbered(keys: list[Column], df):
+    """Different rows of some columns with their numbers, from 1, in ascending order.
+
+    The rows are sorted in ranges and kept; a row's number is its place in its
+    range plus the sizes of the ranges before, of which there are few.
+    """
+    place, part, before = "__place", "__part", "__before"
+    ordered = df.distinct().orderBy(*keys).withColumn(place, F.monotonically_increasing_id()).persist()
+    sizes = ordered.groupBy(F.shiftright(place, 33).alias(part)).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy().orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before))
+    joined = ordered.join(F.broadcast(sizes), F.shiftright(place, 33) == F.col(part))
+    return joined.withColumn("__id", (F.col(place).bitwiseAND((1 << 33) - 1) + F.col(before) + 1).cast("int")).drop(place, part, before)
+
+
 def cur_group_id() -> Expr:
     """The group's number, from 1, with groups in ascending order of their keys."""
 
@@ -183,8 +211,7 @@ def cur_group_id() -> Expr:
             return F.lit(1)
 
         keys = [F.asc_nulls_last(quoted(g)) for g in c.groups]
-        numbered = c.df.select(*(quoted(g) for g in c.groups)).distinct().withColumn("__id", F.row_number().over(Window.partitionBy().orderBy(*keys)))
-        return c.looked_up(numbered, "__id")
+        return c.looked_up(_numbered(keys, c.df.select(*(quoted(g) for g in c.groups))), "__id")
 
     return Expr("cur_group_id", (), build, WIN)
 

@@ -72,7 +72,11 @@ class GroupVerbs:
         return self._keys().count() if self.groups else 1
 
     def group_size(self) -> list[int]:
-        return [r.n for r in self._sizes().collect()]
+        """The sizes of the groups, in the order of their keys; for few groups."""
+        found = self._sizes().limit(DRIVER_GROUPS + 1).collect()
+        if len(found) > DRIVER_GROUPS:
+            raise ValueError(f"more than {DRIVER_GROUPS} groups; use tally()")
+        return [r.n for r in found]
 
     def _sizes(self) -> DataFrame:
         if not self.groups:
@@ -105,6 +109,9 @@ class GroupVerbs:
         return Frame(df.groupBy(*keys).agg(rows).withColumns(dict(zip(names, keys))), order=[(n, False) for n in names])
 
     def group_rows(self) -> list[list[int]]:
+        """The row numbers of each group; for few groups."""
+        if self.groups and self._keys().limit(DRIVER_GROUPS + 1).count() > DRIVER_GROUPS:
+            raise ValueError(f"more than {DRIVER_GROUPS} groups; use group_data()")
         return self.group_data().pull(".rows")
 
     def factor(self, column: str, levels: list[str] | None = None, ordered: bool = False):

@@ -16,7 +16,9 @@ from ..plans.expr import quoted
 from ..plans.joinspec import Condition, JoinSpec, as_join_spec
 from ..plans.lower import Order, hidden, sort_columns
 
-_RELATIONSHIPS = (None, "one-to-one", "one-to-many", "many-to-one", "many-to-many")
+_RELATIONSHIPS = (None, "one-to-one", "one-to-many", "many-to-one", "many-to-many", "warn-many-to-many")
+#: Ranges that the values of a nearest join without an equality are cut into.
+_RANGES = 64
 _MULTIPLE = ("all", "any", "first", "last")
 
 
@@ -76,7 +78,9 @@ class _Sides:
     def test(self, c: Condition, a: str, b: str) -> Column:
         left, right = quoted(a), quoted(b)
         if c.op == "==":
-            return left.eqNullSafe(right) if self.na == "na" else left == right
+            # Where one side is never missing, plain equality says the same and keeps buckets usable.
+            nullable = self.left.schema[a].nullable and self.right.schema[b].nullable if self.na == "na" else False
+            return left.eqNullSafe(right) if nullable else left == right
         plain = {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[c.op]
         return plain | (left.isNull() & right.isNull()) if self.na == "na" and c.op in (">=", "<=") else plain
 
@@ -113,10 +117,14 @@ class _Sides:
         ys = self.right.select(*(quoted(kb).alias(ka) for ka, kb in equal), quoted(b)).where(quoted(b).isNotNull()).distinct()
         ys = ys.withColumns({value: quoted(b), side: F.lit(1 if strict else 0)}).withColumnRenamed(b, found)
         every = xs.unionByName(ys, allowMissingColumns=True)
-        spec = Window.partitionBy(*(quoted(ka) for ka, _ in equal)).orderBy(F.desc_nulls_last(value) if down else F.asc_nulls_last(value), quoted(side))
-        last = F.last(found, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        by = [F.desc_nulls_last(value) if down else F.asc_nulls_last(value), quoted(side)]
+        so_far = (Window.unboundedPreceding, Window.currentRow)
+        if equal:
+            last = F.last(found, ignorenulls=True).over(Window.partitionBy(*(quoted(ka) for ka, _ in equal)).orderBy(*by).rowsBetween(*so_far))
+        else:
+            every, last = self._carried(every, value, found, by, down)
         near = every.withColumn(found, F.when(quoted(value).isNotNull(), last))
-        self.left = near.where(quoted(side) == (0 if strict else 1)).drop(value, side)
+        self.left = near.where(quoted(side) == (0 if strict else 1)).select(*(quoted(n) for n in self.left.columns), quoted(found))
         # No nearest key must not match a missing one, unless both sides' keys are missing and may.
         both_missing = self.na == "na" and not strict
         self.keys = [*others, (Condition(c.x, "near", c.y), found, b)]
@@ -130,6 +138,26 @@ class _Sides:
 
         self.test = test  # type: ignore[method-assign]
 
+    def _carried(self, every: DataFrame, value: str, found: str, by: list[Column], down: bool) -> tuple[DataFrame, Column]:
+        """The last key so far without sorting all rows in one task.
+
+        The values are cut into ranges, each sorted on its own; a range without
+        an earlier key takes the last one of the ranges before.
+        """
+        point = _number(every, value)
+        limits, range_, carried, key = (hidden() for _ in range(4))
+        shares = F.array(*(F.lit(k / _RANGES) for k in range(1, _RANGES)))
+        every = every.crossJoin(F.broadcast(every.agg(F.percentile_approx(point, shares).alias(limits))))  # one row
+        every = every.withColumn(range_, F.coalesce(F.size(F.filter(limits, lambda x: x <= point)), F.lit(-1))).drop(limits)
+        ends = every.groupBy(F.col(range_).alias(key)).agg((F.min if down else F.max)(found).alias(carried))  # a row per range
+        before = Window.partitionBy().orderBy(F.desc(key) if down else F.asc(key)).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn(carried, F.last(carried, ignorenulls=True).over(before))
+        every = every.join(F.broadcast(ends), F.col(range_) == F.col(key)).drop(key)
+        own = F.last(found, ignorenulls=True).over(Window.partitionBy(range_).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        name = hidden()
+        every = every.withColumn(name, F.coalesce(own, F.col(carried))).drop(range_, carried)
+        return every, quoted(name)
+
     def binned(self, width: float, how: str) -> None:
         """Adds an equality to a range join: both sides' ranges are cut into bins, which must be equal.
 
@@ -290,16 +318,32 @@ class JoinVerbs:
             raise ValueError("a row of the right table has no match")
         if relationship in (None, "many-to-many"):
             return
+        if relationship == "warn-many-to-many":
+            if self._repeats(s, s.left, s.right) and self._repeats(s, s.right, s.left):
+                warnings.warn("rows of both tables match several rows of the other: a many-to-many join", stacklevel=4)
+            return
         for one, side in (("-to-one", "left"), ("one-to-", "right")):
             if one in relationship:
                 a, b = (s.left, s.right) if side == "left" else (s.right, s.left)
-                row = hidden("r")
-                matches = a.withColumn(row, F.monotonically_increasing_id()).join(b, s.condition()).groupBy(row).count()
-                if not matches.where("count > 1").isEmpty():
+                if self._repeats(s, a, b):
                     raise ValueError(f"a row of the {side} table matches several rows, against {relationship}")
 
+    def _repeats(self, s: _Sides, a: DataFrame, b: DataFrame) -> bool:
+        """Whether a row of a matches several rows of b: repeated keys of b that a has; pairs only where ranges are compared."""
+        if all(c.op == "==" for c, _, _ in s.keys):
+            own = [k for _, x, y in s.keys for k in (x, y) if k in b.columns]
+            repeated = b.groupBy(*(quoted(k) for k in own)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+            return not a.join(repeated, s.condition(), "left_semi").isEmpty()
+        row = hidden("r")
+        matches = a.withColumn(row, F.monotonically_increasing_id()).join(b, s.condition()).groupBy(row).count()
+        return not matches.where("count > 1").isEmpty()
+
     def inner_join(self, y, by=None, copy=False, suffix=(".x", ".y"), keep=None, na_matches="na", multiple="all", unmatched="drop", relationship=None, bin_width=None):
-        """Pairs of rows that match; bin_width cuts the ranges of a range join without equalities into bins."""
+        """Pairs of rows that match; bin_width cuts the ranges of a range join without equalities into bins.
+
+        relationship="warn-many-to-many" asks for a warning if rows of both
+        tables match several rows of the other, at the price of a job.
+        """
         return self._mutating(y, "inner", by, copy, suffix, keep, na_matches, multiple, unmatched, relationship, bin_width)
 
     def left_join(self, y, by=None, copy=False, suffix=(".x", ".y"), keep=None, na_matches="na", multiple="all", unmatched="drop", relationship=None, bin_width=None):

@@ -15,6 +15,10 @@ from ..plans.lower import Context, hidden, sort_columns
 from ..plans.macros import Macro, expanded
 
 
+#: Rows of a sample that are drawn as a limit, and bins that draws of larger ones are counted in.
+LIMIT_ROWS, DRAW_BINS = 100_000, 65_536
+
+
 class RowVerbs:
     def filter(self, *conditions: Any, _by: Any = None):
         """Rows for which all conditions are true."""
@@ -174,6 +178,8 @@ class RowVerbs:
         partition = Window.partitionBy(*(quoted(g) for g in context.groups))
         if not replace:
             draw = context.settled(F.when(weight > 0, -F.log(F.lit(1.0) - F.rand(seed)) / weight).otherwise(F.lit(float("inf"))))
+            if not context.groups:
+                return self._drawn(context, draw, n, prop)
             number = context.settled(F.row_number().over(partition.orderBy(draw)))
             rows = context.settled(F.count(F.lit(1)).over(partition))
             keep = number <= self._size(n, prop, rows)
@@ -195,6 +201,28 @@ class RowVerbs:
         order = self._grouped_order(context, groups, slot, context.order)
         return self._with(context.df, order=order)
 
+    def _drawn(self, context: Context, draw: Column, n: int | None, prop: float | None):
+        """The rows of a whole table with the smallest draws.
+
+        Few are a limit.  Many are found through a count of draws by bins: bins
+        below the limit are taken whole, and only the bin at the limit is
+        numbered, so that no task sees all rows.
+        """
+        place = _name(context, draw)
+        order = ((place, False), *context.order)
+        if prop is None and 0 <= (1 if n is None else n) <= LIMIT_ROWS:
+            return self._with(context.df.orderBy(quoted(place)).limit(1 if n is None else math.floor(n)), order=order)
+        bin_, rows, upto, whole, number = (hidden() for _ in range(5))
+        drawn = context.df.withColumn(bin_, F.floor(F.lit(DRAW_BINS) * (1 - F.exp(-quoted(place)))))
+        before = Window.partitionBy().orderBy(bin_).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per bin
+        sizes = drawn.groupBy(bin_).agg(F.count(F.lit(1)).alias(rows))
+        sizes = sizes.withColumns({upto: F.sum(rows).over(before), whole: F.sum(rows).over(Window.partitionBy())})
+        sizes = sizes.select(F.col(bin_).alias(hidden("k")), (self._size(n, prop, F.col(whole)) - F.col(upto) + F.col(rows)).alias(upto), rows).where(F.col(upto) > 0)
+        key = sizes.columns[0]
+        near = drawn.join(F.broadcast(sizes), F.col(bin_) == F.col(key))
+        near = near.withColumn(number, F.row_number().over(Window.partitionBy(bin_).orderBy(quoted(place))))
+        return self._with(near.where(F.col(number) <= F.col(upto)), order=order)
+
     def sample_n(self, size: int, replace: bool = False, weight: Any = None, seed: int = 0):
         """As slice_sample(), but more rows than there are is an error."""
         if not replace:

@@ -79,13 +79,13 @@ class SetVerbs:
         """The tables one after another, each in its own order."""
         frames = [f.with_order() for f in frames]
         source = hidden("o")
-        depth = max((len(f.order) for f in frames), default=0) if all(not down for f in frames for _, down in f.order) else 1
-        order = [hidden("o") for _ in range(depth)]
+        contexts = [Context(f._df, [], f.order) for f in frames]
+        for context in contexts:
+            if context.order:
+                context.ascending()
+        order = [hidden("o") for _ in range(max((len(c.order) for c in contexts), default=0))]
         parts = []
-        for k, (f, df) in enumerate(zip(frames, _aligned(frames, strict=False))):
-            context = Context(f._df, [], f.order)
-            if any(down for _, down in f.order):
-                context.position()
+        for k, (f, df, context) in enumerate(zip(frames, _aligned(frames, strict=False), contexts)):
             kept = [quoted(n) for n, _ in context.order]
             columns = [c.cast(df.schema[n].dataType).alias(n) for n, c in ((n, quoted(n) if n in f.columns else F.lit(None)) for n in df.columns)]
             extra = [F.lit(ids[k]).alias(id_name)] if id_name else []

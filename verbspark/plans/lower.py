@@ -56,6 +56,29 @@ def sort_columns(order: Order) -> list[Column]:
     return [F.desc_nulls_last(quoted(n)) if down else F.asc_nulls_last(quoted(n)) for n, down in order]
 
 
+def descending(kind: T.DataType, column: Column) -> Column | None:
+    """A value that ascends where the column descends; None for types that have none."""
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(column)
+    if isinstance(kind, T.BooleanType):
+        return ~column
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return -column
+    if isinstance(kind, T.DecimalType):
+        return -column
+    if isinstance(kind, T.DateType):
+        return F.bitwise_not(F.unix_date(column))
+    if isinstance(kind, T.TimestampType):
+        return F.bitwise_not(F.unix_micros(column))
+    if isinstance(kind, T.TimestampNTZType):
+        minutes = F.unix_date(column.cast("date")).cast("long") * 1440 + F.hour(column) * 60 + F.minute(column)
+        return F.bitwise_not(minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), column) * 1_000_000).cast("long"))
+    if isinstance(kind, T.BinaryType) or kind == T.StringType():  # not texts in another collation
+        # Complements of the bytes; the end mark comes after them, so that a text precedes its own beginnings.
+        return F.concat(F.translate(F.hex(column), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return None
+
+
 class Context:
     """The frame that expressions are built for: its data, groups and row order.
 
@@ -110,13 +133,24 @@ class Context:
             self.order = ((name, False),)
         return sort_columns(self.order)
 
-    def position(self) -> Column:
-        """A value that ascends with the row order."""
+    def ascending(self) -> None:
+        """Makes all columns of the row order ascend."""
         self.row_order()
-        if any(down for _, down in self.order):
+        if not any(down for _, down in self.order):
+            return
+        turned = {n: descending(self.df.schema[n].dataType, quoted(n)) for n, down in self.order if down}
+        if any(v is None for v in turned.values()):  # arrays, structs and collated texts: the rows are numbered in one task
             name = hidden("o")
             self.df = self.df.withColumn(name, F.row_number().over(Window.partitionBy().orderBy(*self.row_order())))
             self.order = ((name, False),)
+            return
+        names = {n: hidden("o") for n in turned}
+        self.df = self.df.withColumns({names[n]: v for n, v in turned.items()})
+        self.order = tuple((names.get(n, n), False) for n, _ in self.order)
+
+    def position(self) -> Column:
+        """A value that ascends with the row order."""
+        self.ascending()
         # A missing sort key comes last, so its absence is the first thing to compare.
         parts = [x for n, _ in self.order for x in (quoted(n).isNull(), quoted(n))]
         return F.struct(*(p.alias(f"k{i}") for i, p in enumerate(parts)))

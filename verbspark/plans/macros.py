@@ -52,9 +52,9 @@ class Across(Macro):
             value = self.functions[f](Col(found[new])) if self.functions[f] is not None else Col(found[new])
             name = names.replace("{col}", new).replace("{fn}", f or "1")
             if isinstance(value, dict):  # several results of one function
-                out += [(f"{name}_{inner}", as_expr(e)) for inner, e in value.items()]
+                out += [(f"{name}_{inner}", _at_column(as_expr(e), found[new])) for inner, e in value.items()]
             else:
-                out.append((name, as_expr(value)))
+                out.append((name, _at_column(as_expr(value), found[new])))
         if len({n for n, _ in out}) < len(out):
             raise ValueError("across() makes equal names")
         return [(name, e if e is None else _resolved(e, fields, groups)) for name, e in out]
@@ -83,6 +83,28 @@ def c_across(columns: Any = None) -> CAcross:
     return CAcross(everything() if columns is None else columns)
 
 
+class CurColumn(Expr):
+    """The name of the column that across() is at."""
+
+    def __init__(self):
+        super().__init__("cur_column", (), self._outside)
+
+    @staticmethod
+    def _outside(*_: Any):
+        raise ValueError("cur_column() has a meaning inside across() only")
+
+
+def cur_column() -> CurColumn:
+    """The name of the current column of across(), as a text."""
+    return CurColumn()
+
+
+def _at_column(e: Expr, name: str) -> Expr:
+    if isinstance(e, CurColumn):
+        return Lit(name)
+    return e.with_children(_at_column(c, name) for c in e.children) if any(isinstance(x, CurColumn) for x in e.walk()) else e
+
+
 def _resolved(e: Expr, fields: Fields, groups: list[str]) -> Expr:
     if isinstance(e, CAcross):
         from ..functions.scalars import c_array

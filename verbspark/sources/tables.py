@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..frame import Frame
 from ..plans.lower import hidden
 
+
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | T.StructType | None = None, **options: Any) -> Frame:
     """A frame of files: parquet, orc, csv, json, text or any other source of Spark.
 
@@ -20,19 +21,29 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | T.
     return Frame((reader.schema(schema) if schema is not None else reader).load(path))
 
 
+class sql(str):  # noqa: N801
+    """The text of a whole query, where a table's name is asked for."""
+
+
 def tbl(source: Any, name: str | None = None, **options: Any) -> Frame:
-    """A table of a session's catalog, of a JDBC address, or a DataFrame."""
+    """A table of a session's catalog or of a JDBC address, the rows of a query given as sql(), or a DataFrame."""
     if isinstance(source, Frame):
         return source
     if isinstance(source, DataFrame):
         return Frame(source)
     if isinstance(source, SparkSession):
         if "url" in options:
-            return Frame(source.read.format("jdbc").option("dbtable", name).options(**options).load())
+            return Frame(source.read.format("jdbc").option("query" if isinstance(name, sql) else "dbtable", name).options(**options).load())
+        if isinstance(name, sql):
+            return Frame(source.sql(name))
         return Frame(source.table(name))
     raise TypeError("a table comes from a session or a DataFrame")
 
 
+def is_tbl(x: Any) -> bool:
+    return isinstance(x, Frame)
+
+
 def as_frame(df: DataFrame) -> Frame:
     return Frame(df)
 
@@ -58,6 +69,14 @@ def from_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructType
     return Frame(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], whole), order=((place, False),))
 
 
+def lst(**values: Any) -> dict[str, Any]:
+    """Named values in order; a function is called with the values before it."""
+    out: dict[str, Any] = {}
+    for name, value in values.items():
+        out[name] = value(out) if callable(value) else value
+    return out
+
+
 def tibble(spark: SparkSession, schema: str, **columns: list) -> Frame:
     """A frame from columns; one of length 1 repeats."""
     n = max((len(c) for c in columns.values()), default=0)
@@ -100,7 +119,11 @@ def write(frame: Frame, path: str, kind: str = "parquet", mode: str = "error", p
 
 
 def write_table(frame: Frame, name: str, mode: str = "error", bucket_by: tuple[int, str] | None = None) -> None:
-    """Saves a table, in buckets of a column for joins without a shuffle."""
+    """Saves a table, in buckets of a column for joins without a shuffle.
+
+    Buckets serve joins with na_matches="never", since keys that may be missing
+    on both sides are compared by more than their values.
+    """
     writer = frame.df.write.mode(mode)
     (writer.bucketBy(*bucket_by).sortBy(bucket_by[1]) if bucket_by else writer).saveAsTable(name)
 
@@ -109,6 +132,46 @@ def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 
 
+def has_table(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def _source(spark: SparkSession, what: str) -> DataFrame:
+    return spark.sql(what) if isinstance(what, sql) else spark.table(what)
+
+
+def query_fields(spark: SparkSession, what: str) -> list[str]:
+    """The columns of a table or of a query given as sql(); nothing runs."""
+    return _source(spark, what).columns
+
+
+def query_rows(spark: SparkSession, what: str) -> int:
+    """The number of rows of a table or of a query given as sql()."""
+    return _source(spark, what).count()
+
+
+def data_type(frame: Frame) -> dict[str, str]:
+    """The SQL type of each column."""
+    return {f.name: f.dataType.simpleString() for f in frame.fields}
+
+
+def create_table(spark: SparkSession, name: str, schema: str | T.StructType) -> Frame:
+    """An empty saved table."""
+    spark.createDataFrame([], schema).write.saveAsTable(name)
+    return tbl(spark, name)
+
+
+def insert_into(frame: Frame, name: str) -> None:
+    """Appends a frame's rows to a saved table, columns by name."""
+    frame.df.select(*frame.session.table(name).columns).write.insertInto(name)
+
+
+def save_query(spark: SparkSession, query: str, name: str) -> Frame:
+    """A query's text as a named view of the session."""
+    _source(spark, sql(query)).createOrReplaceTempView(name)
+    return tbl(spark, name)
+
+
 def analyze(spark: SparkSession, name: str) -> None:
     """Collects a saved table's statistics for the optimiser."""
     spark.sql(f"ANALYZE TABLE `{name}` COMPUTE STATISTICS FOR ALL COLUMNS")

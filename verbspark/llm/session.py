@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,13 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder
 
 
 def step_path(spark: SparkSession) -> str:
     """A place of its own for a table in the shared folder."""
-    return f"{shared_folder(spark)}/{_scope.get() or f'steps-{spark.sparkContext.applicationId}'}/{uuid.uuid4().hex}"
+    return f"{_steps(spark)}/{uuid.uuid4().hex}"
+
+
+def _steps(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{_scope.get() or f'steps-{spark.sparkContext.applicationId}'}"
+
+
+def delete_steps(spark: SparkSession) -> None:
+    """Deletes all step tables of this application, once the results that read them have been written."""
+    delete(spark, _steps(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@
    a centre form a group; any two nodes with an equal key share a group.
    Groups are split into tiles of bounded size.  All pairs of a tile, and of
    its nodes with the centre, are confirmed on the full sets by matrix
-   products.  A tile returns only a spanning forest of its links.
+   products.  A tile returns a star for each component of its links.
 4. Connected components over these links.  Pairs of one component need no
    further look, so in a group of several tiles only the nodes that are not in
    the centre's component still meet the other tiles.  Work and copies of sets
@@ -41,6 +41,8 @@ from .text_kernels import constants, mix64, shingles, words
 CHUNKS, WIDTH, ERRORS, SYMBOL_BITS = 12, 5, 1, 16
 #: A tile holds about so many rows and so many shingles at most, unless one text has more.
 TILE_ROWS, TILE_SHINGLES = 256, 400_000
+#: Nodes of a task that makes their keys, unless that makes too many tasks.
+KEYED_ROWS, MOST_PARTS = 8192, 20_000
 #: Up to so many node ids are sent to all executors (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _COLUMNS = 4096
@@ -160,7 +162,7 @@ def shared_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], left: int, per_cent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of the first `left` texts with all of these."""
+    """The components of the links of the first `left` texts with all of these, each as a star around its first text."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     shared = np.rint(shared_counts(sets, left)).astype(np.int64)
     linked = 100 * shared >= per_cent * (sizes[:left, None] + sizes[None, :] - shared)
@@ -172,14 +174,11 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], left: int, per_cent: int) ->
             x = parent[x]
         return x
 
-    out = []
     for i in range(left):
         for j in np.flatnonzero(linked[i]).tolist():
             x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+            parent[max(x, y)] = min(x, y)
+    return [(int(ids[root(j)]), int(ids[j])) for j in range(len(sets)) if root(j) != j]
 
 
 def _confirmed(per_cent: int):
@@ -279,7 +278,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         described.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("signature").alias("signature"), F.first("n").alias("n"))
     )
 
-    keys = nodes.select("node", "signature").mapInArrow(_keyed, "key long, id long")
+    spread = nodes.repartition(min(MOST_PARTS, -(-nodes.count() // KEYED_ROWS)) or 1)  # a node makes many keys
+    keys = spread.select("node", "signature").mapInArrow(_keyed, "key long, id long")
     buckets = checkpointed(keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").select("key", "centre"))
     near = keys.join(buckets, "key").select("centre", F.col("id").alias("node")).distinct()
     near = checkpointed(near.join(nodes.select("node", "n"), "node").select("centre", "node", "n"))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .session import checkpointed, exists
 
-#: Up to so many blob names are sent to all executors (about 100 bytes each); more are joined by a shuffle.
-BROADCAST_BLOBS = 200_000
+#: Up to so many blob names are sent to all executors (about 600 bytes each); more are joined by a shuffle.
+BROADCAST_BLOBS = 50_000
 #: Up to so many blobs with findings are sent to all executors; more are joined by a shuffle.
 BROADCAST_FINDINGS = 50_000
 
@@ -147,7 +147,7 @@ def _unseen(texts: DataFrame, places: DataFrame, known: DataFrame | None, rules:
     plain = (F.col("n") == 1) & (F.size("todo") == len(rules))  # one place, and all rules
     sizes = blobs.agg(F.count_if(F.size("todo") > 0).alias("lacking"), F.count_if(~plain).alias("special")).first()
     first = F.col("place").eqNullSafe(F.col("first"))
-    if sizes["lacking"] > BROADCAST_BLOBS >= sizes["special"]:
+    if sizes["special"] <= min(sizes["lacking"], BROADCAST_BLOBS):
         special = F.broadcast(blobs.where(~plain).select("blob", "first", "todo"))
         todo = texts.join(special, "blob", "left").where(F.col("first").isNull() | (first & (F.size("todo") > 0))).select("body", "blob", F.coalesce("todo", every).alias("todo"))
     else:

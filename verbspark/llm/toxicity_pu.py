@@ -164,11 +164,12 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     toxic = own.where("toxic = 1").orderBy(F.xxhash64(id_col, F.lit(3)), id_col).limit(positives).select(F.col(id_col).alias("id"))
     rows = docs.where(use & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("place", F.xxhash64("id", "body", F.lit(5)))
-    share = int((1 << 30) * min(1.0, unlabelled / max(1, docs.count())))
     # The draw moves ids and hashes only; then the texts that were drawn are fetched.
-    some = lambda df, n: df.select("id", "place").distinct().orderBy("place", "id").limit(n)
-    own = some(rows.join(F.broadcast(toxic), "id", "left_semi"), positives).withColumns({"p": F.lit(1), "u": F.lit(0)})
-    others = some(rows.where(F.pmod("place", F.lit(1 << 30)) < share), 2 * unlabelled).withColumns({"p": F.lit(0), "u": F.lit(1)})
+    places = checkpointed(rows.select("id", "place"))
+    share = int((1 << 30) * min(1.0, unlabelled / max(1, docs.count())))
+    some = lambda df, n: df.distinct().orderBy("place", "id").limit(n)
+    own = some(places.join(F.broadcast(toxic), "id", "left_semi"), positives).withColumns({"p": F.lit(1), "u": F.lit(0)})
+    others = some(places.where(F.pmod("place", F.lit(1 << 30)) < share), 2 * unlabelled).withColumns({"p": F.lit(0), "u": F.lit(1)})
     drawn = checkpointed(own.unionByName(others).groupBy("id", "place").agg(F.max("p").alias("p"), F.max("u").alias("u")))
     sample = rows.join(F.broadcast(drawn), ["id", "place"]).dropDuplicates(["id", "place"]).select("id", "body", "p", "u")
     sample = checkpointed(sample)

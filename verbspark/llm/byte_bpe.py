@@ -34,7 +34,7 @@ _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 _PLAIN_LIMIT = 0x0500
 _PLAIN_LEAD = 0xC0 | _PLAIN_LIMIT >> 6
 #: Distinct pre-tokens that a process remembers; beyond it starts anew.
-_REMEMBERED = 500_000
+_REMEMBERED = 150_000
 _PART_BYTES = 1 << 20
 _SAFE_CUT = re.compile(r"(?<=\S) ")
 

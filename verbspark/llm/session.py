@@ -93,6 +93,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, f"{shared_folder(spark)}/{name}")
 
 
+#: Rows of text that go to a Python worker at once, at most.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the buffers between executors and their Python workers small: rows may hold long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package from where the driver did.
 
